@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import abuse, boilerplate, copies, leakage, mixing, splitting
+from ledgerloom.llm import abuse, boilerplate, copies, leakage, mixing, splitting, truncation
 from ledgerloom.llm import sql as S
 from ledgerloom.plans import query
 from ledgerloom.session import table
@@ -108,3 +108,20 @@ def p10_rates(spark, d):
     """Documents scored and rate of abuse per source."""
     rate = F.avg(F.col("abusive").cast("double"))
     return _scored(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("abusive").cast("int")).alias("abusive"), rate.alias("abusive_rate"), F.avg("score").alias("mean_score"))
+
+
+def _cut(spark, d, keep=()):
+    return truncation.truncated(table(spark, d, "evaluation_details"), "detail_id", "question", ["prediction", "retrieved_context"], list(keep))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    """Values that stop before their end."""
+    return _cut(spark, d).where("truncated").select("detail_id", "field").distinct()
+
+
+@query("p3_rates")
+def p3_rates(spark, d):
+    """Share of cut values per system, run and field."""
+    judged = _cut(spark, d, ("system", "run_id")).where("log_odds is not null")
+    return judged.groupBy("system", "run_id", "field").agg(F.count("*").alias("texts"), F.sum(F.col("truncated").cast("int")).alias("cut"), F.avg(F.col("truncated").cast("double")).alias("cut_share"))
