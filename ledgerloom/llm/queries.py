@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import abuse, boilerplate, copies, leakage, mixing, splitting, truncation
+from ledgerloom.llm import abuse, boilerplate, copies, leakage, mixing, pairs, splitting, truncation
 from ledgerloom.llm import sql as S
 from ledgerloom.plans import query
 from ledgerloom.session import table
@@ -125,3 +125,22 @@ def p3_rates(spark, d):
     """Share of cut values per system, run and field."""
     judged = _cut(spark, d, ("system", "run_id")).where("log_odds is not null")
     return judged.groupBy("system", "run_id", "field").agg(F.count("*").alias("texts"), F.sum(F.col("truncated").cast("int")).alias("cut"), F.avg(F.col("truncated").cast("double")).alias("cut_share"))
+
+
+def _defects(spark, d):
+    return pairs.defects(table(spark, d, "evaluation_details"), "detail_id", "question", ["prediction", "gold_answer"], "expected_refusal")
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    """Defective pairs of question and response, with the first defect that applies."""
+    return _defects(spark, d).where("defect is not null").distinct()
+
+
+@query("p7_rates")
+def p7_rates(spark, d):
+    """Pairs by field and defect, with their share of the field's pairs."""
+    from pyspark.sql import Window
+
+    n = _defects(spark, d).groupBy("field", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"))
+    return n.withColumn("share", F.col("pairs") / F.sum("pairs").over(Window.partitionBy("field")))
