@@ -50,6 +50,7 @@ LANGUAGE_WORDS = {
 }
 
 _LANG = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
+_LANGS_OF = {w: tuple(k for k in _LANG if w in _LANG[k]) for v in _LANG.values() for w in v}
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _EN_NUM = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+"
 _EU_NUM = r"\d{1,3}(?:[.   ]\d{3})+(?:,\d+)?|\d+(?:,\d+)?"
@@ -73,14 +74,22 @@ class Mention(NamedTuple):
     start: int
 
 
+def language_hits(text: str) -> dict[str, int]:
+    """How many words of a text are frequent ones of each language."""
+    hits = dict.fromkeys(_LANG, 0)
+    for w in _WORD.findall(text.lower()):
+        for k in _LANGS_OF.get(w, ()):
+            hits[k] += 1
+    return hits
+
+
 def language(text: str | None, default: str = "en") -> str:
     """The language with most of its frequent words in the text; ``default`` where none occurs or on a tie with it."""
     if not text:
         return default
-    words = [w.lower() for w in _WORD.findall(text)]
-    hits = {k: sum(w in v for w in words) for k, v in _LANG.items()}
-    best = max(hits.values(), default=0)
-    return default if not best or hits[default] == best else max(hits, key=hits.get)
+    hits = language_hits(text)
+    best = max(hits.values())
+    return default if not best or hits.get(default) == best else max(hits, key=hits.get)
 
 
 def _tail(rest: str) -> tuple[float | None, str | None]:
