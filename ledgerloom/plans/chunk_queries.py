@@ -115,7 +115,7 @@ def c11(spark, d):
 def c12(spark, d):
     """Table rows as sentences, with their figures formatted and their aliases."""
     t = table(spark, d, "extracted_tables").select("record_id", "company", "ticker", "year")
-    rows = c8(spark, d).withColumn("formatted", C.financial_values("values", "units")).join(t, "record_id")
+    rows = c8(spark, d).withColumn("formatted", C.financial_values(F.col("values"), F.col("units"))).join(t, "record_id")
     said = C.natural_text(*(F.col(c) for c in ("company", "ticker", "year", "table_title", "row_label", "formatted", "years", "units")))
     return rows.select("record_id", "line_no", said.alias("text"), C.value_aliases(F.col("values"), F.col("formatted"), F.col("units")).alias("value_aliases"))
 
