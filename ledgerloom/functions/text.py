@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ CHANGE_WORDS = "increased|decreased|primarily|due to|driven by|compared to"
 SECTION_NAMES = {"Item 1": "Business", "Item 1A": "Risk Factors", "Item 7": "Management's Discussion and Analysis", "Item 8": "Financial Statements and Supplementary Data"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often body or its lambdas name it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Blanks squeezed, lines trimmed, runs of blank lines made one; nothing at either end."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
@@ -134,7 +141,7 @@ def numeric_values(c: Column) -> Column:
 def numeric_match(predicted: Column, gold: Column, tolerance: float = 1e-3) -> Column:
     """Whether any number of one list is near any of the other; near is a part in a thousand, and 1 at least."""
     near = lambda p, g: F.abs(p - g) <= F.greatest(F.greatest(F.abs(p), F.abs(g)) * tolerance, F.lit(1.0), F.abs(g) * tolerance)
-    return F.exists(predicted, lambda p: F.exists(gold, lambda g: near(p, g)))
+    return let(gold, lambda gs: F.exists(predicted, lambda p: F.exists(gs, lambda g: near(p, g))))
 
 
 def numeric_candidates(c: Column) -> Column:
@@ -142,36 +149,37 @@ def numeric_candidates(c: Column) -> Column:
     money = F.regexp_extract_all(c, F.lit(r"(?i)(\$?\s*[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:billion|million|thousand|bn|mm|m|k)?)"), F.lit(1))
     percent = F.regexp_extract_all(c, F.lit(r"(?i)([-+]?\d+(?:\.\d+)?\s*(?:%|percent))"), F.lit(1))
     all_ = F.transform(F.concat(money, percent), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    seen = F.transform(all_, F.lower)
-    return F.filter(all_, lambda x, i: F.array_position(seen, F.lower(x)) == i + 1)
+    return let(all_, lambda a: let(F.transform(a, lambda x: F.lower(x)), lambda seen: F.filter(a, lambda x, i: F.array_position(seen, F.lower(x)) == i + 1)))
 
 
 def is_refusal(c: Column) -> Column:
-    norm = normalize_answer(c)
-    return F.exists(F.array(*map(F.lit, REFUSAL_PHRASES)), lambda p: F.contains(norm, p))
+    return let(normalize_answer(c), lambda norm: F.exists(F.array(*map(F.lit, REFUSAL_PHRASES)), lambda p: F.contains(norm, p)))
 
 
 def exact_match(prediction: Column, answers: Column) -> Column:
-    return F.array_contains(F.transform(answers, normalize_answer), normalize_answer(prediction))
+    return let(normalize_answer(prediction), lambda p: F.exists(answers, lambda a: normalize_answer(a) == p))
 
 
 def token_f1(prediction: Column, answers: Column) -> Column:
     """Best F1 of the answers over words counted with repeats; 1 where both are empty, 0 without answers."""
     tokens = lambda x: F.filter(F.split(normalize_answer(x), " "), lambda t: t != "")
-    pred = tokens(prediction)
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+
+    def one(pred: Column, gold: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(pred), F.lit(0), lambda n, t: n + F.least(times(pred, t), times(gold, t)))
+
+        def f1(n: Column) -> Column:
+            p, r = n / F.size(pred), n / F.size(gold)
+            return F.when((F.size(pred) == 0) & (F.size(gold) == 0), 1.0).when(n == 0, 0.0).otherwise(2 * p * r / (p + r))
 
-    def one(answer: Column) -> Column:
-        gold = tokens(answer)
-        times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-        shared = F.aggregate(F.transform(F.array_distinct(pred), lambda t: F.least(times(pred, t), times(gold, t))), F.lit(0), lambda a, x: a + x)
-        p, r = shared / F.size(pred), shared / F.size(gold)
-        return F.when((F.size(pred) == 0) & (F.size(gold) == 0), 1.0).when(shared == 0, 0.0).otherwise(2 * p * r / (p + r))
+        return let(shared, f1)
 
-    return F.coalesce(F.array_max(F.transform(answers, one)), F.lit(0.0))
+    best = let(tokens(prediction), lambda pred: F.array_max(F.transform(answers, lambda a: let(tokens(a), lambda gold: one(pred, gold)))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def answer_coverage(context: Column, evidence: Column, answer: Column, aliases: Column) -> Column:
     """Whether evidence, answer or an alias stands in the context, all normalised."""
-    hay = normalize_answer(context)
     cands = F.concat(F.array(evidence, answer), F.coalesce(aliases, F.array().cast("array<string>")))
-    return F.exists(F.transform(F.filter(cands, lambda x: x.isNotNull()), normalize_answer), lambda x: (x != "") & F.contains(hay, x))
+    norms = F.transform(F.filter(cands, lambda x: x.isNotNull()), normalize_answer)
+    return let(normalize_answer(context), lambda hay: F.exists(norms, lambda x: (x != "") & F.contains(hay, x)))

@@ -17,9 +17,8 @@ def extract_answers(texts: DataFrame, questions: DataFrame, key: str) -> DataFra
     q = questions.select("question_id", F.coalesce("row_label", F.lit("")).alias("_label"), F.filter(F.concat(F.array("answer", "normalized_answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "")).alias("_aliases"), "question_type")
     j = texts.where("text is not null").join(q, "question_id").where("coalesce(question_type, '') <> 'negative'")
     labelled = F.contains(F.lower("text"), F.lower("_label"))
-    norm = T.normalize_answer(F.col("text"))
     gold = F.flatten(F.transform("_aliases", T.numeric_values))
-    j = j.withColumns({"_hit": labelled, "_alias": F.get(F.filter("_aliases", lambda a: F.contains(norm, T.normalize_answer(a))), 0), "_cands": T.numeric_candidates(F.col("text")), "_gold": gold})
+    j = j.withColumns({"_hit": labelled, "_alias": T.let(T.normalize_answer(F.col("text")), lambda norm: F.get(F.filter("_aliases", lambda a: F.contains(norm, T.normalize_answer(a))), 0)), "_cands": T.numeric_candidates(F.col("text")), "_gold": gold})
     j = j.withColumn("_near", F.get(F.filter("_cands", lambda c: T.numeric_match(T.numeric_values(c), F.col("_gold"))), 0))
     usable = ((F.col("_label") == "") | F.col("_hit")) & (F.size("_cands") > 0)
     turn = F.when(F.col("_alias").isNotNull(), 1).when(usable, 2)
