@@ -188,3 +188,24 @@ def c13(spark, d):
     """Files that have no local context yet, and would get some."""
     chunks = table(spark, d, "chunks").where("source_file is not null")
     return chunks.select("source_file").distinct().join(chunks.where("source_type = 'local_context'").select("source_file"), "source_file", "left_anti")
+
+
+def _built(spark, d, *configs):
+    docs = table(spark, d, "chunks").select("chunk_key", "text", "source_file", "ticker", "company", "year")
+    out = None
+    for c in configs:
+        one = C.build_chunks(docs, "chunk_key", c)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("c6_mixed_chunks")
+def c6(spark, d):
+    """The default configuration over texts with headings, figures and prose."""
+    return _built(spark, d, "table_aware_mixed")
+
+
+@query("c7_all_configs")
+def c7(spark, d):
+    """Chunks by configuration and kind, for all eight."""
+    return _built(spark, d, *C.CONFIGS).groupBy("chunk_config", "source_type", "retrievable").agg(F.count("*").alias("chunks"))

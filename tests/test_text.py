@@ -139,3 +139,14 @@ def test_configs():
     assert chunking.parse_configs("fixed_128, section_180") == ["fixed_128", "section_180"] and chunking.parse_configs("") == [chunking.DEFAULT_CONFIG]
     with pytest.raises(ValueError):
         chunking.parse_configs("nope")
+
+
+def test_build_chunks(spark):
+    page = "Item 7. Discussion\n(dollars in millions)\nProducts and Services Performance\n2025 2024\nServices 109,158 96,169\nTotal net sales 416,161 391,035\nNet sales increased primarily due to services in every region of the world last year.\n\nItem 8. Statements\nServices 5 6 7 8"
+    docs = spark.createDataFrame([(1, page, "AAPL_Apple_2025_10K.html", "AAPL", "Apple", "2025"), (2, None, None, None, None, None), (3, "", "x", None, None, None)], "id int, text string, source_file string, ticker string, company string, year string")
+    got = chunking.build_chunks(docs, "id").orderBy("id", "chunk_index").collect()
+    assert [(r.section_id, r.source_type) for r in got if r.id == 1][:4] == [("Item 7", "table_row"), ("Item 7", "table_row"), ("Item 7", "table_summary"), ("Item 7", "local_context")]
+    assert got[0].text == "Apple (AAPL) fiscal 2025 Products and Services Performance table. Services net sales were $109.158 billion ($109,158 million) in 2025, and $96.169 billion ($96,169 million) in 2024 (dollars in millions)."
+    assert got[0].chunk_id.endswith("_table_row_0000_table_aware_mixed") and got[0].retrievable is True
+    for c in chunking.CONFIGS:
+        assert chunking.build_chunks(docs, "id", c).where("text = ''").count() == 0
