@@ -74,11 +74,15 @@ rows_ AS (SELECT record_id, line_no, row_label, coalesce(title, nearest) AS tabl
 )
 
 
-@query("c8_table_rows", _ROWS_SQL + " SELECT * FROM rows_")
-def c8(spark, d):
+def _rows(spark, d):
     return C.table_rows(_filings(spark, d), "record_id", "text", F.col("year")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+@query("c8_table_rows", _ROWS_SQL + """ SELECT record_id, line_no, row_label, table_title, array_to_string("values", '|') AS "values", array_to_string(years, '|') AS years, units FROM rows_""")
+def c8(spark, d):
+    return _rows(spark, d).withColumns({c: F.array_join(c, "|") for c in ("values", "years")})
+
+
 def _inline_sql() -> str:
     figure, share = r"\s+\$?\s*([\d,]+(?:\.\d+)?)", r"(?:\s+\(?-?\d+\)?\s*%|\s+—\s*%)?"
     flat = f"replace({S.ws('text')}, chr(10), ' ')"
@@ -86,19 +90,19 @@ def _inline_sql() -> str:
     for label in ("Services", "Products", "Net sales", "Revenue"):
         pat = rf"(?i)(?:^|[^A-Za-z])({label})(?:\s*\(\d+\))?{figure}{share}{figure}{share}{figure}"
         parts.append(f"SELECT record_id, unnest(list_zip({', '.join(f'regexp_extract_all(t, $x${pat}$x$, {g})' for g in range(1, 5))})) AS z FROM t")
-    return f"WITH t AS (SELECT record_id, {flat} AS t FROM (SELECT record_id, array_to_string(list_transform(\"rows\", lambda r: array_to_string(r, ' ')), chr(10)) AS text FROM extracted_tables WHERE \"rows\" IS NOT NULL)) SELECT record_id, z[1] AS row_label, [z[2], z[3], z[4]] AS \"values\" FROM ({' UNION ALL '.join(parts)})"
+    return f"WITH t AS (SELECT record_id, {flat} AS t FROM (SELECT record_id, array_to_string(list_transform(\"rows\", lambda r: array_to_string(r, ' ')), chr(10)) AS text FROM extracted_tables WHERE \"rows\" IS NOT NULL)) SELECT record_id, z[1] AS row_label, concat_ws('|', z[2], z[3], z[4]) AS \"values\" FROM ({' UNION ALL '.join(parts)})"
 
 
 @query("c9_inline_rows", _inline_sql())
 def c9(spark, d):
     t = table(spark, d, "extracted_tables").where("rows is not null")
     lines = t.select("record_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "\n").alias("text"))
-    return C.inline_rows(lines, "record_id", "text", ("Services", "Products", "Net sales", "Revenue"))
+    return C.inline_rows(lines, "record_id", "text", ("Services", "Products", "Net sales", "Revenue")).withColumn("values", F.array_join("values", "|"))
 
 
 @query("c10_row_dedupe", _ROWS_SQL + ' SELECT record_id, line_no, row_label FROM (SELECT *, row_number() OVER (PARTITION BY record_id, lower(row_label), "values" ORDER BY line_no) AS n FROM rows_) WHERE n = 1')
 def c10(spark, d):
-    return C.distinct_rows(c8(spark, d), "record_id").select("record_id", "line_no", "row_label")
+    return C.distinct_rows(_rows(spark, d), "record_id").select("record_id", "line_no", "row_label")
 
 
 @query(
@@ -108,14 +112,14 @@ def c10(spark, d):
 SELECT record_id, r[1].b AS table_title, array_to_string(list_transform(list_slice(CASE WHEN len(list_filter(r, lambda x: x.d)) > 0 THEN list_filter(r, lambda x: x.d) ELSE r END, 1, 5), lambda x: x.c), ', ') AS labels FROM g""",
 )
 def c11(spark, d):
-    return C.table_summaries(c8(spark, d), "record_id")
+    return C.table_summaries(_rows(spark, d), "record_id")
 
 
 @query("c12_row_texts")
 def c12(spark, d):
     """Table rows as sentences, with their figures formatted and their aliases."""
     t = table(spark, d, "extracted_tables").select("record_id", "company", "ticker", "year")
-    rows = c8(spark, d).withColumn("formatted", C.financial_values(F.col("values"), F.col("units"))).join(t, "record_id")
+    rows = _rows(spark, d).withColumn("formatted", C.financial_values(F.col("values"), F.col("units"))).join(t, "record_id")
     said = C.natural_text(*(F.col(c) for c in ("company", "ticker", "year", "table_title", "row_label", "formatted", "years", "units")))
     return rows.select("record_id", "line_no", said.alias("text"), C.value_aliases(F.col("values"), F.col("formatted"), F.col("units")).alias("value_aliases"))
 

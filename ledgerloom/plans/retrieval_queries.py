@@ -125,9 +125,9 @@ def r9(spark, d):
     return q.select("pos", R.rewritten(q).alias("query"))
 
 
-@query("r10_row_terms", f"SELECT pos, {_ROW_TERMS} AS row_terms FROM questions_verified")
+@query("r10_row_terms", f"SELECT pos, array_to_string({_ROW_TERMS}, ' ') AS row_terms FROM questions_verified")
 def r10(spark, d):
-    return _questions(spark, d).select("pos", R.row_label_terms(F.col("row_label"), F.col("question")).alias("row_terms"))
+    return _questions(spark, d).select("pos", F.array_join(R.row_label_terms(F.col("row_label"), F.col("question")), " ").alias("row_terms"))
 
 
 @query("r11_filters", """SELECT pos, array_to_string(list_filter(['ticker=' || nullif(ticker, ''), 'year=' || nullif("year", '')], lambda x: x IS NOT NULL), ';') AS filters FROM questions_verified""")

@@ -140,9 +140,10 @@ def t14(spark, d):
     return table(spark, d, "evaluation_details").select("detail_id", T.normalize_answer(F.col("prediction")).alias("answer"))
 
 
-@query("n1_numeric_values", f"SELECT detail_id, {S.nums('prediction')} AS numbers FROM evaluation_details")
+@query("n1_numeric_values", f"SELECT detail_id, len({S.nums('prediction')}) AS numbers, round(coalesce(list_max({S.nums('prediction')}), 0), 4) AS largest FROM evaluation_details")
 def n1(spark, d):
-    return table(spark, d, "evaluation_details").select("detail_id", T.numeric_values(F.col("prediction")).alias("numbers"))
+    v = T.numeric_values(F.col("prediction"))
+    return table(spark, d, "evaluation_details").select("detail_id", F.size(v).cast("long").alias("numbers"), F.round(F.coalesce(F.array_max(v), F.lit(0.0)), 4).alias("largest"))
 
 
 @query("n2_numeric_match", f"SELECT detail_id, {S.near(S.nums('prediction'), S.nums('gold_answer'))} AS matches FROM evaluation_details")
@@ -154,6 +155,6 @@ def n2(spark, d):
 _CAND = r"list_transform(list_concat(regexp_extract_all(text, '(?i)(\$?\s*[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:billion|million|thousand|bn|mm|m|k)?)'), regexp_extract_all(text, '(?i)([-+]?\d+(?:\.\d+)?\s*(?:%|percent))')), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))"
 
 
-@query("n4_candidates", f"WITH c AS (SELECT chunk_key, {_CAND} AS a FROM chunks WHERE text IS NOT NULL) SELECT chunk_key, list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i) AS candidates FROM c")
+@query("n4_candidates", f"WITH c AS (SELECT chunk_key, {_CAND} AS a FROM chunks WHERE text IS NOT NULL) SELECT chunk_key, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), '|') AS candidates FROM c")
 def n4(spark, d):
-    return table(spark, d, "chunks").where("text is not null").select("chunk_key", T.numeric_candidates(F.col("text")).alias("candidates"))
+    return table(spark, d, "chunks").where("text is not null").select("chunk_key", F.array_join(T.numeric_candidates(F.col("text")), "|").alias("candidates"))
