@@ -20,6 +20,7 @@ gives an empty result; extra columns are ignored; a response of millions of char
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from typing import NamedTuple
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.quantities import language, language_hits
+from ledgerloom.functions.quantities import LANGUAGE_WORDS, language
 from ledgerloom.llm import truncation as T
 
 LABELS = ("empty", "copy", "refusal", "truncated", "other_language")
@@ -60,6 +61,41 @@ REFUSALS = {
 }
 
 
+# Further words that tell languages apart, besides the frequent ones: months, scales, units, periods, verbs and short words.
+LANGUAGE_CUES = {
+    "en": "a an this these there were was has had have be been are or if no it we they than more less about over under after before during because due main reason see item year fiscal million billion thousand dollars percent shares richer mix fell rose reached total company report",
+    "de": "im am zum zur vom aus bei über unter nach durch wurde wurden wird hat haben sind war waren sich auch nicht kein keine einer einem einen oder aber wie als zu an erreichte erreichten betrug betrugen stieg stiegen sank sanken lag lagen belief erzielte meldete geschäftsjahr jahr jahre milliarde milliarden millionen tausend prozent basispunkte "
+    "aktien quadratmeter tonnen umsatz umsätze erlöse gewinn verlust ergebnis höhere niedrigere geringere grund hauptgrund aufgrund infolge gegenüber vorjahr januar februar märz mai juni juli oktober dezember unternehmen gesellschaft bericht",
+    "fr": "au aux ce cette ces son sa ses leur est sont ont avait avaient fut ne pas plus moins sur sous selon entre depuis donc ou où il elle ils d'un d'une s'est s'élève exercice année année fiscale milliard milliards millions mille cent actions mètres carrés tonnes chiffre d'affaires bénéfice perte résultat hausse baisse augmenté "
+    "diminué atteignait atteignent élevé raison principale janvier février mars avril mai juin juillet août septembre octobre novembre décembre société entreprise rapport",
+    "es": "al del este esta estos su sus es son fue fueron ha han había no más menos sobre según entre desde pero o como lo le alcanzó alcanzaron ascendió ascendieron registró aumentó disminuyó creció cayó subió bajó año fiscal ejercicio mil millones millón miles por ciento dólares acciones metros cuadrados toneladas ventas ingresos beneficio "
+    "pérdida resultado mayor mayores menor menores causa motivo principal debido enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre empresa compañía sociedad informe",
+}
+# Letters that only one of the languages writes; they count in words that begin with a small letter, as names keep theirs.
+LANGUAGE_LETTERS = {"de": "äöüß", "fr": "àâçèêëîïœùû", "es": "ñáíóú"}
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+_plain_letters = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
+_EVIDENCE: dict[str, set[str]] = {}
+for _k in LANGUAGE_WORDS:
+    for _w in f"{LANGUAGE_WORDS[_k]} {LANGUAGE_CUES[_k]}".split():
+        for _v in {_w, _w.translate(_UMLAUTS) if _k == "de" else _w if len(_w) < 4 else _plain_letters(_w)}:
+            _EVIDENCE.setdefault(_v, set()).add(_k)
+
+
+def language_evidence(text: str) -> dict[str, int]:
+    """How many words of a text speak for each language, by the word or by its letters."""
+    hits = dict.fromkeys(LANGUAGE_WORDS, 0)
+    for w in _WORD.findall(text):
+        low = w.lower()
+        of = _EVIDENCE.get(low)
+        if of is None and not w.isascii() and w == low:
+            of = {k for k, letters in LANGUAGE_LETTERS.items() if any(c in letters for c in low)}
+        for k in of or ():
+            hits[k] += 1
+    return hits
+
+
 class Example(NamedTuple):
     """A response to a question, with the log-odds of its end."""
 
@@ -87,12 +123,12 @@ def is_empty(response: str | None) -> bool:
 
 
 def foreign(question: str | None, response: str | None) -> float:
-    """By how many frequent words the response's most foreign sentence is in another language than the question's."""
+    """By how many words the response's most foreign sentence is in another language than the question's."""
     if not question or not question.strip() or not response:
         return 0.0
     own, most = _question(question)[2], 0
     for s in _SENTENCE.split(bare(response)):
-        hits = language_hits(s)
+        hits = language_evidence(s)
         mine = hits.pop(own)
         most = max(most, max(hits.values()) - mine)
     return float(most)

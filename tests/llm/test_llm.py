@@ -254,6 +254,25 @@ def test_copies_of_questions(text, copy):
 GERMAN = ["Der Umsatz von Kordadex ist wegen der schwachen Nachfrage im Exportgeschäft gesunken.", "Die Verträge mit Velmotis laufen aus, und der Rohertrag hängt nun von Zemvedex ab."]
 
 
+# Short sentences by language, labelled by hand.
+LABELLED = {
+    "en": ["Kordadex sold a richer mix, see Item 1A.", "Net sales: 28.53 billion U.S. dollars.", "Main reason: a la carte orders.", "Rio de Janeiro and El Paso grew.", "Flooring grew 4.5 percent at Saint-Étienne.", "Volumes up, prices down."],
+    "de": ["Flilimra erreichte im Geschaeftsjahr 2024 28,53 Milliarden US-Dollar.", "Flilimra erreichte im Geschäftsjahr 2024 28,53 Milliarden US-Dollar.", "Der Gewinn stieg um 4 Prozent.", "Umsatz: 3,2 Millionen Euro gegenüber Vorjahr.", "Höhere Preise trugen zum Wachstum bei."],
+    "fr": ["Flilimra a atteint 28,53 milliards de dollars.", "Le bénéfice net a augmenté.", "Chiffre d'affaires en hausse.", "Les ventes ont baissé depuis janvier."],
+    "es": ["Flilimra alcanzó 28,53 mil millones de dólares.", "Los ingresos aumentaron en el ejercicio.", "Ventas mayores en febrero.", "El beneficio subió."],
+}
+
+
+def test_foreign_sentences():
+    asked = {"en": "What was the revenue of Flilimra in fiscal 2024?", "de": "Wie hoch war der Umsatz von Flilimra im Jahr 2024?", "fr": "Quel était le chiffre d'affaires de Flilimra pour l'exercice 2024?", "es": "¿Cuáles fueron los ingresos de Flilimra en el ejercicio 2024?"}
+    for own, q in asked.items():
+        for lang, texts in LABELLED.items():
+            for t in texts:
+                if own == lang or own == "en":  # every text to an English question, and to a question in its own language
+                    assert (pairs.foreign(q, t) >= 2) is (own != lang), (own, t)
+    assert pairs.foreign(asked["de"], "The revenue of Flilimra was higher than in 2023.") >= 2
+
+
 def test_pairs_held_out(spark):
     texts, r = sentences(2400, 4)
     rows, want = [], {}
