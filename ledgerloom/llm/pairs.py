@@ -10,7 +10,8 @@ held-out examples: to miss hardly any where a check follows, in the emptiest pla
 and the made ones for refusals. What the classifier flags as empty, copied, truncated or in another language is then checked
 exactly; each pair has the first defect that applies.
 
-The classifier is fitted on ``SAMPLE`` pairs drawn by the hash of their id; every pair is judged.
+The classifier is fitted on ``SAMPLE`` pairs drawn by the hash of their id; every pair is judged. The refusals' threshold and
+the cuts of truncation, per language and field, are set from the scores of all pairs.
 
 Defined results: a null or blank response is empty; a null or blank question can't be copied and has no
 language to differ from; a null ``expected_refusal`` expects none; repeated rows are judged each; an empty table
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.quantities import LANGUAGE_WORDS, language
 from ledgerloom.llm import truncation as T
+from ledgerloom.session import checkpointed
 
 LABELS = ("empty", "copy", "refusal", "truncated", "other_language")
 SAMPLE, BITS, STEPS, RATE, DECAY = 2000, 16, 60, 0.7, 2e-5
+FINE = 64  # bins of refusal scores a unit, over all rows
 DENSE = 11
 SUSPECT, SUSPICION = 0.05, -2.2  # weight of the table's own texts against refusals, and score of a suspect, before suspects are out
 _SPECIAL = re.compile(r"<\|[a-z_]+\|>")
@@ -105,11 +108,12 @@ class Example(NamedTuple):
 
 
 class Model(NamedTuple):
-    """Weights of n-grams and of pair features, and a threshold, for each label."""
+    """Weights of n-grams and of pair features, and a threshold, for each label; held-out scores of made refusals."""
 
     grams: np.ndarray
     dense: np.ndarray
     thresholds: np.ndarray
+    refused: np.ndarray
 
 
 def bare(response: str | None) -> str:
@@ -273,13 +277,19 @@ def _between(made: np.ndarray, others: np.ndarray) -> float:
     return 0.25 * float(np.quantile(made, 0.002)) + 0.75 * float(np.median(others))
 
 
-def _valley(real: np.ndarray, made: np.ndarray) -> float:
-    """Middle of the first wide empty stretch, else the widest, between the bulk of the table's own scores and that of the made positives."""
-    low, high = float(np.median(real)), float(np.median(made))
+def _valley(real: np.ndarray, made: np.ndarray, rows: np.ndarray | None = None) -> float:
+    """Middle of the first wide empty stretch, else the widest, between the bulk of the table's own scores and that of the made positives.
+
+    ``rows`` is how many rows have each of the table's scores, one if not given.
+    """
+    rows = np.ones(len(real)) if rows is None else rows
+    order = np.argsort(real)
+    real, rows = real[order], rows[order]
+    low, high = float(real[np.searchsorted(np.cumsum(rows), rows.sum() / 2)]), float(np.median(made))
     if high - low < 0.5:
         return high
     at = np.arange(low, high + 0.25, 0.25)
-    n = np.histogram(real, at)[0] / len(real) + np.histogram(made, at)[0] / len(made)
+    n = np.histogram(real, at, weights=rows)[0] / rows.sum() + np.histogram(made, at)[0] / len(made)
     n = np.convolve(np.r_[n[0], n, n[-1]], [0.25, 0.5, 0.25], mode="valid")
     empty = np.flatnonzero(n <= n.min() + 1e-12)
     runs = np.split(empty, np.flatnonzero(np.diff(empty) > 1) + 1)
@@ -315,31 +325,32 @@ def fit(pairs: list[Example], odds_of, seed: int = 3) -> Model | None:
         own_slots, own = gram_slots([p.response for p in pairs])
         texts = np.array([not is_empty(p.response) for p in pairs])
         cuts[refusal] = _valley(_scores(own_slots, own, pair_features(pairs), grams, w)[texts, refusal], score[held & (y[:, refusal] > 0), refusal]) if texts.any() and y[held, refusal].any() else 0.0
-        model = Model(grams, w, cuts)
+        model = Model(grams, w, cuts, score[held & (y[:, refusal] > 0), refusal])
         if first:
             model.thresholds[refusal] = SUSPICION
     return model
 
 
-def classify(examples: list[Example], model: Model) -> np.ndarray:
-    """Whether each label is on, one row per example."""
+def label_scores(examples: list[Example], model: Model) -> np.ndarray:
+    """Score of each label, one row per example."""
     if not examples:
-        return np.zeros((0, len(LABELS)), dtype=bool)
+        return np.zeros((0, len(LABELS)))
     slots, owner = gram_slots([e.response for e in examples])
-    return _scores(slots, owner, pair_features(examples), model.grams, model.dense) >= model.thresholds
+    return _scores(slots, owner, pair_features(examples), model.grams, model.dense)
+
 
+def classify(examples: list[Example], model: Model) -> np.ndarray:
+    """Whether each label is on, one row per example."""
+    return label_scores(examples, model) >= model.thresholds
 
-def first_defect(example: Example, flags: np.ndarray, expected_refusal: bool, cut_below: float) -> str | None:
-    """The first defect that applies, flagged by the classifier and, where it can be, checked exactly."""
+
+def sure_defect(example: Example, flags: np.ndarray) -> str | None:
+    """The first defect but refusal and truncation, whose cuts are set from all rows: flagged by the classifier and checked exactly."""
     on = dict(zip(LABELS, flags, strict=True))
     if on["empty"] and is_empty(example.response):
         return "empty"
     if on["copy"] and T.is_copy(example.response, example.question):
         return "copy"
-    if on["refusal"] and not expected_refusal:
-        return "refusal"
-    if on["truncated"] and example.odds < cut_below:
-        return "truncated"
     if on["other_language"] and foreign(example.question, example.response) >= 2:
         return "other_language"
     return None
@@ -362,10 +373,10 @@ def defects(rows: DataFrame, row_id: str, question: str, fields: list[str], expe
 
     model = fit(pairs, odds_of)
     kind = rows.schema[row_id].dataType.simpleString()
-    schema = f"{row_id} {kind}, field string, defect string"
     if model is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{row_id} {kind}, field string, defect string")
     sent = spark.sparkContext.broadcast((counts, model))
+    truncated, refusal = LABELS.index("truncated"), LABELS.index("refusal")
 
     def judge(frames):
         c, m = sent.value
@@ -374,7 +385,18 @@ def defects(rows: DataFrame, row_id: str, question: str, fields: list[str], expe
                 values, questions = [v or "" for v in f[name]], [q or "" for q in f["_q"]]
                 odds = T.judge(values, questions, c, column)
                 examples = [Example(q, v, 0.0 if o is None else o) for q, v, o in zip(questions, values, odds, strict=True)]
-                flags = classify(examples, m)
-                yield pd.DataFrame({row_id: f["_id"], "field": name, "defect": [first_defect(e, g, bool(x), T.DEFAULT_THRESHOLD) for e, g, x in zip(examples, flags, f["_e"], strict=True)]})
-
-    return src.mapInPandas(judge, schema)
+                scores = label_scores(examples, m)
+                flags = scores >= m.thresholds
+                yield pd.DataFrame({
+                    "_id": f["_id"], "_e": f["_e"], "field": name, "language": T.languages(values), "log_odds": pd.Series(odds, index=f.index, dtype="float64"), "cuttable": flags[:, truncated],
+                    "refusal": pd.Series(np.floor(scores[:, refusal] * FINE) / FINE, index=f.index), "empty": [is_empty(v) for v in values], "sure": [sure_defect(e, g) for e, g in zip(examples, flags, strict=True)],
+                })
+
+    out = checkpointed(src.mapInPandas(judge, f"_id {kind}, _e boolean, field string, language string, log_odds double, cuttable boolean, refusal double, empty boolean, sure string"))
+    bins = out.where("not empty").groupBy("refusal").agg(F.count("*").alias("n")).collect()
+    refused_from = _valley(np.array([r.refusal for r in bins]), model.refused, np.array([float(r.n) for r in bins])) if bins and len(model.refused) else float(model.thresholds[refusal])
+    defect = (
+        F.when(F.col("sure").isin("empty", "copy"), F.col("sure")).when((F.col("refusal") >= refused_from) & ~F.col("_e"), "refusal")
+        .when(F.col("cuttable") & (F.col("log_odds") < T.limits(out)), "truncated").otherwise(F.col("sure"))
+    )
+    return out.select(F.col("_id").alias(row_id), "field", defect.alias("defect"))

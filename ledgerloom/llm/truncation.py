@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.quantities import language
@@ -405,10 +405,8 @@ def judged(rows: DataFrame, counts: Counts, row_id: str, question: str, text_col
     return src.mapInPandas(read, ", ".join(f"{c} {k}" for c, k in zip(("_id", *keep), kinds, strict=True)) + ", field string, language string, log_odds double").withColumnRenamed("_id", row_id)
 
 
-def truncated(rows: DataFrame, row_id: str, question: str, text_cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Every value with its log-odds and whether it is cut; see :func:`judged` for the columns."""
-    counts = gather(rows, question, text_cols)
-    out = checkpointed(judged(rows, counts, row_id, question, text_cols, keep))
+def limits(out: DataFrame) -> Column:
+    """Log-odds below which a value is cut, by its language and field: the valley over all judged values."""
     bins = out.where("log_odds is not null").groupBy("language", "field", (F.floor(F.col("log_odds") * 4) / 4).alias("at")).agg(F.count("*").alias("n")).collect()
     groups: dict[tuple[str, str], dict[float, int]] = {}
     for r in bins:
@@ -417,4 +415,11 @@ def truncated(rows: DataFrame, row_id: str, question: str, text_cols: list[str],
     limit = F.lit(DEFAULT_THRESHOLD)
     for (lang, field), v in sorted(cuts.items()):
         limit = F.when((F.col("language") == lang) & (F.col("field") == field), v).otherwise(limit)
-    return out.withColumn("truncated", F.coalesce(F.col("log_odds") < limit, F.lit(False)))
+    return limit
+
+
+def truncated(rows: DataFrame, row_id: str, question: str, text_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Every value with its log-odds and whether it is cut; see :func:`judged` for the columns."""
+    counts = gather(rows, question, text_cols)
+    out = checkpointed(judged(rows, counts, row_id, question, text_cols, keep))
+    return out.withColumn("truncated", F.coalesce(F.col("log_odds") < limits(out), F.lit(False)))

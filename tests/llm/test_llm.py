@@ -307,6 +307,25 @@ def test_pairs_held_out(spark):
     assert empty.columns == ["detail_id", "field", "defect"] and empty.count() == 0
 
 
+def test_pairs_cuts_from_all_rows(spark, monkeypatch):
+    texts, r = sentences(600, 6)
+    rows = [(i, f"What drove the result in fiscal 20{i % 20 + 10}?", t[: r.randint(25, len(t) - 12)] if i % 6 == 0 else t, False) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "detail_id long, question string, prediction string, expected_refusal boolean")
+    monkeypatch.setattr(pairs, "SAMPLE", 200)
+    seen, valley = [], pairs._valley
+    monkeypatch.setattr(pairs, "_valley", lambda real, made, rows=None: seen.append(len(real) if rows is None else rows.sum()) or valley(real, made, rows))
+    found = lambda: {x.detail_id for x in pairs.defects(df, "detail_id", "question", ["prediction"], "expected_refusal").where("defect = 'truncated'").collect()}
+    for cut in (-6.0, -1e9):
+        monkeypatch.setattr(truncation, "valley", lambda histogram, cut=cut: cut)
+        cut_off = {x.detail_id for x in truncation.truncated(df, "detail_id", "question", ["prediction"]).where("truncated").collect()}
+        assert found() == cut_off and bool(cut_off) is (cut == -6.0)
+    assert seen[-1] == len(rows)
+    scores = np.round(np.random.default_rng(1).normal(-4, 1, 500), 1)
+    at, n = np.unique(scores, return_counts=True)
+    made = np.random.default_rng(2).normal(4, 1, 100)
+    assert pairs._valley(at, made, n) == pairs._valley(scores, made)
+
+
 # ---- abuse
 
 
