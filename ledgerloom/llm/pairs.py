@@ -1,17 +1,20 @@
 """Defective prompt and response pairs: empty, copied, refused, truncated or in another language.
 
-A multi-label linear classifier reads hashed word n-grams of the response (names and figures masked) and
-features of the pair: letters or digits at all, what is left of the response without the question, shared
-words, the end's log-odds of :mod:`ledgerloom.llm.truncation`, and sentences in another language. It is trained on
-the table's own responses, made defective on purpose: cut at random places, replaced by the question in its
-disguises, swapped for a response to a question in another language, refused in many wordings, or emptied.
-Responses that a first classifier suspects leave the clean examples of a second. Thresholds are calibrated on
-held-out examples: to miss hardly any where a check follows, in the emptiest place between the table's responses
-and the made ones for refusals. What the classifier flags as empty, copied, truncated or in another language is then checked
-exactly; each pair has the first defect that applies.
-
-The classifier is fitted on ``SAMPLE`` pairs drawn by the hash of their id; every pair is judged. The refusals' threshold and
-the cuts of truncation, per language and field, are set from the scores of all pairs.
+A multi-label linear classifier reads hashed word n-grams of the response (names and figures masked) and graded
+features of the pair: how many letters and digits, how much of the response is the question and what is left, shared
+words, the end's log-odds of :mod:`ledgerloom.llm.truncation`, and how far a sentence is in another language. It is
+trained on the table's own responses, made defective on purpose: cut at random places, replaced by the question in
+its disguises, swapped for a response to a question in another language, refused, or emptied.
+
+Only a few general refusals are given. More are mined from the table: where most responses to questions of a form
+state a figure, those without one that are whole and in the question's language mostly decline. Responses that a
+first classifier suspects leave the clean examples of a second. Thresholds are set per label on held-out examples, where
+recall counts four times as much as precision if an exact check follows: for refusals none does, and the threshold lies in the
+emptiest place between the scores of all the table's responses and those of the made ones. What the classifier
+flags as empty, copied, truncated or in another language is checked exactly; each pair has the first defect that applies.
+
+The classifier is fitted on ``SAMPLE`` pairs and ``MINED`` candidates of refusals drawn by the hash of their id; every
+pair is judged. The refusals' threshold and the cuts of truncation, per language and field, come from all pairs.
 
 Defined results: a null or blank response is empty; a null or blank question can't be copied and has no
 language to differ from; a null ``expected_refusal`` expects none; repeated rows are judged each; an empty table
@@ -27,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.quantities import LANGUAGE_WORDS, language
@@ -35,32 +38,25 @@ from ledgerloom.llm import truncation as T
 from ledgerloom.session import checkpointed
 
 LABELS = ("empty", "copy", "refusal", "truncated", "other_language")
-SAMPLE, BITS, STEPS, RATE, DECAY = 2000, 16, 60, 0.7, 2e-5
+SAMPLE, MINED, BITS, STEPS, RATE, DECAY = 2000, 4000, 16, 60, 0.7, 2e-5
+FIGURED = 0.5  # share of a form's responses with a figure from which one without is a candidate of a refusal
+FOLDS, SURE = 4, 1.5  # log-odds from which a candidate is taken for a refusal
+ODDS = 5  # place of the end's log-odds among the pair features
 FINE = 64  # bins of refusal scores a unit, over all rows
-DENSE = 11
-SUSPECT, SUSPICION = 0.05, -2.2  # weight of the table's own texts against refusals, and score of a suspect, before suspects are out
+DENSE = 10
+SUSPECT, SUSPICION = 0.1, 0.0  # weight of the table's own texts against refusals, and score of a suspect, in the first round
 _SPECIAL = re.compile(r"<\|[a-z_]+\|>")
 _ALNUM = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 
-# Wordings of refusals, by language; {n} is a name from the question.
+# General refusals by language, the seed of those mined; {n} is a name from the question.
 REFUSALS = {
-    "en": (
-        ["", "", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "I apologise, but ", "Regrettably, ", "As a language model, "],
-        ["I do not know.", "I don't know the answer.", "I cannot determine this from the provided context.", "I cannot answer this question.", "I am unable to find {n} in these pages.", "I can't help with that question.",
-         "unable to answer based on the given excerpt.", "not enough information.", "insufficient evidence to give a figure.", "it is not possible to answer this without more of the document.", "no answer can be derived from the passages shown.",
-         "this cannot be answered from what was shown.", "the filing does not provide enough information to answer.", "the context does not say anything about {n}.", "there is no mention of {n} in the excerpt, so no answer can be given.",
-         "the material at hand says nothing on {n}.", "nothing in the passage covers {n}.", "the pages retrieved leave the figure for {n} open.", "the pages retrieved leave the answer for {n} open.", "the pages retrieved leave the data for {n} open.",
-         "I have no way to tell what {n} did.", "I lack the data to reply.", "I lack the answer to reply.", "I lack the figure to reply.", "I would rather not guess; the excerpt leaves {n} out.", "I am not able to give any data for {n}.",
-         "I am not able to give any figure for {n}.", "I have no access to the filing of {n}.", "the filing does not say.", "not disclosed in the filing.", "not stated.", "the answer is not given in the text.", "that information is not available.",
-         "the excerpt gives no details on {n}.", "the excerpt gives no figure on {n}.", "no data on {n} can be found here.", "no answer on {n} can be found here.", "the filing does not mention {n}.", "I can't say what {n} did.", "I am unable to answer that.", "I cannot provide an answer.", "this is not something the text covers."],
-        ["", "", "", " Please consult the full filing.", " Ask again with more context.", " Please provide more context."],
-    ),
-    "fr": (["", "Désolé, ", "Malheureusement, "], ["je ne sais pas.", "je ne peux pas répondre à cette question.", "le contexte ne permet pas de répondre.", "aucune réponse ne peut être donnée sur {n}.", "l'extrait ne dit rien sur {n}.", "le document ne donne pas cette information.", "les informations sont insuffisantes."], ["", " Veuillez consulter le document complet."]),
-    "de": (["", "Leider ", "Entschuldigung, "], ["weiß ich es nicht.", "ich kann diese Frage nicht beantworten.", "der Auszug sagt nichts über {n}.", "dazu liegen keine Angaben vor.", "die Angaben reichen nicht aus.", "lässt sich das aus dem Kontext nicht beantworten.", "zu {n} gibt es im Text keine Antwort."], ["", " Bitte ziehen Sie den vollständigen Bericht heran."]),
-    "es": (["", "Lo siento, ", "Lamentablemente, "], ["no lo sé.", "no puedo responder a esta pregunta.", "el contexto no dice nada sobre {n}.", "no hay información suficiente.", "no se puede responder con el texto dado.", "el extracto no menciona {n}.", "la respuesta no figura en el documento."], ["", " Consulte el documento completo."]),
+    "en": (["", "", "Sorry, ", "Unfortunately, "], ["I do not know.", "I don't know the answer.", "I cannot answer this question.", "I am unable to answer that.", "not enough information.", "I cannot help with that.", "the text does not answer this question.", "no information about {n} is available."]),
+    "fr": (["", "Désolé, ", "Malheureusement, "], ["je ne sais pas.", "je ne peux pas répondre à cette question.", "le contexte ne permet pas de répondre.", "aucune réponse ne peut être donnée sur {n}.", "l'extrait ne dit rien sur {n}.", "le document ne donne pas cette information.", "les informations sont insuffisantes."]),
+    "de": (["", "Leider ", "Entschuldigung, "], ["weiß ich es nicht.", "ich kann diese Frage nicht beantworten.", "der Auszug sagt nichts über {n}.", "dazu liegen keine Angaben vor.", "die Angaben reichen nicht aus.", "lässt sich das aus dem Kontext nicht beantworten.", "zu {n} gibt es im Text keine Antwort."]),
+    "es": (["", "Lo siento, ", "Lamentablemente, "], ["no lo sé.", "no puedo responder a esta pregunta.", "el contexto no dice nada sobre {n}.", "no hay información suficiente.", "no se puede responder con el texto dado.", "el extracto no menciona {n}.", "la respuesta no figura en el documento."]),
 }
 
 
@@ -198,10 +194,12 @@ def pair_features(examples: list[Example]) -> np.ndarray:
         r = bare(e.response)
         q, asked, _ = _question(e.question or "")
         mine = set(_PLAIN.findall(r.lower()))
-        same = T._same(r) if q and len(r) < 6 * len(q) + 60 else ""
-        left = len(same.replace(q, "")) / max(len(same), 1) if same else 1.0
-        strange = foreign(e.question, r)
-        out[i] = (1.0, is_empty(r), bool(same) and left < 1 and T.is_copy(r, e.question), 1 - left, len(asked & mine) / max(len(mine), 1) if mine else 0.0, np.clip(e.odds, -10, 4) / 4, e.odds < T.DEFAULT_THRESHOLD, strange >= 2, min(strange, 8) / 4, len(mine) / 20 if len(mine) < 60 else 3.0, not mine)
+        same = T._same(r)
+        rest = len(same.replace(q, "")) if q and q in same else len(same)
+        out[i] = (
+            1.0, np.log1p(len(same)) / 5, 1 - rest / len(same) if same else 0.0, np.log1p(rest) / 5, len(asked & mine) / max(len(mine), 1) if mine else 0.0, np.clip(e.odds, -10, 4) / 2,
+            min(foreign(e.question, r), 8) / 4, len(mine) / 20 if len(mine) < 60 else 3.0, not mine, any(c.isdigit() for c in same),
+        )
     return out
 
 
@@ -231,50 +229,63 @@ def _learn(slots, owner, dense, y, weight) -> tuple[np.ndarray, np.ndarray]:
     return grams, w
 
 
-def synthesise(pairs: list[Example], pool: list[Example], odds_of, rng: np.random.Generator) -> tuple[list[Example], np.ndarray, np.ndarray]:
-    """Each pair as it is and made defective in every way, with responses of the pool in other languages; the labels, and whether the text is the table's own, have a row each."""
-    out, labels, real = [], [], []
-    langs = [language(p.question) for p in pairs]
+class Made(NamedTuple):
+    """An example made of a sampled pair: its question, response, column and labels, and whether the text is the table's own."""
+
+    source: int
+    question: str
+    response: str
+    column: int
+    labels: tuple[int, ...]
+    real: bool
+
+
+def synthesise(pairs: list[tuple[str, str, int]], rng: np.random.Generator) -> list[Made]:
+    """Each pair (question, response, column) as it is and made defective in every way."""
+    out: list[Made] = []
+    langs = [language(q) for q, _, _ in pairs]
     by_lang: dict[str, list[int]] = {}
-    for i, p in enumerate(pool):
-        if len(p.response) > 25 and (own := language(p.response, "?")) != "?":
+    for i, (q, r, _) in enumerate(pairs):
+        if len(r) > 25 and not T.is_copy(r, q) and (own := language(r, "?")) != "?":
             by_lang.setdefault(own, []).append(i)
+    for i, ((q, r, column), lang) in enumerate(zip(pairs, langs, strict=True)):
 
-    def add(q: str, r: str, **on):
-        out.append((q, r))
-        labels.append([on.get(k, 0) for k in LABELS])
-        real.append(not {"empty", "copy", "refusal"} & set(on))
+        def add(text: str, i=i, q=q, column=column, **on):
+            out.append(Made(i, q, text, column, tuple(on.get(k, 0) for k in LABELS), not {"empty", "copy", "refusal"} & set(on)))
 
-    for p, lang in zip(pairs, langs, strict=True):
-        q = p.question or ""
-        add(q, p.response)
+        add(r)
         kind = rng.integers(6)
-        if kind < 2 and p.response.rstrip().endswith("."):  # a mark of exclamation is no refusal's own
-            add(q, p.response.rstrip()[:-1] + "!")
-        add(q, ["", " ", "...", "<|endoftext|>", "-", "\n\n"][kind], empty=1)
+        if kind < 2 and r.rstrip().endswith("."):  # a mark of exclamation is no refusal's own
+            add(r.rstrip()[:-1] + "!")
+        add(["", " ", "...", "<|endoftext|>", "-", "\n\n"][kind], empty=1)
         if q:
-            add(q, [q, q.lower(), q.upper(), f"Question: {q}", f'"{q}"', f"{q} {q}"][kind], copy=1)
-            # the question and then an answer is no copy
-            add(q, f"{q} {p.response}" if p.response.strip() else q, copy=int(not p.response.strip()))
-        t = T.proper(p.response)
+            add([q, q.lower(), f"Answer: {q}", f"Question: {q}", f'"{q}"', f"{q} {q}"][kind], copy=1)
+            if r.strip():  # the question and then an answer is no copy
+                add(f"{q} {r}")
+        t = T.proper(r)
         if len(t) > 40:
-            at = int(rng.integers(20, len(t) - 4))
-            add(q, t[:at] + ["", "", "...", " ", "<|endoftext|>", "…"][kind], truncated=1)
-        head, body, tail = REFUSALS[lang if rng.random() < 0.7 else "en"]
+            at = int(rng.integers(max(20, len(t) // 2), len(t) - 4))  # what is missing is mostly the smaller part
+            add(t[:at] + ["", "", "...", " ", "<|endoftext|>", "…"][kind], truncated=1)
+        head, body = REFUSALS[lang if rng.random() < 0.7 else "en"]
         names = re.findall(r"\b[A-Z][a-z]{4,}\b", q)[1:] or ["the company"]
         text = head[rng.integers(len(head))] + body[rng.integers(len(body))].replace("{n}", names[rng.integers(len(names))])
-        text = text[0].upper() + text[1:] + tail[rng.integers(len(tail))]
-        add(q, text[:-1] + "!" if kind == 5 else text + ["", "", "", "<|endoftext|>", "\n"][kind if kind < 5 else 0], refusal=1)
-        others = [i for k, v in by_lang.items() if k != lang for i in v]
+        text = text[0].upper() + text[1:]
+        add(text[:-1] + "!" if kind == 5 else text + ["", "", "", "<|endoftext|>", "\n"][kind if kind < 5 else 0], refusal=1)
+        others = [j for k, v in by_lang.items() if k != lang for j in v]
         if others:
-            add(q, pool[others[rng.integers(len(others))]].response, other_language=1)
-    odds = odds_of([r for _, r in out])
-    return [Example(q, r, o) for (q, r), o in zip(out, odds, strict=True)], np.array(labels, dtype=np.float32).reshape(-1, len(LABELS)), np.array(real)
+            add(pairs[others[rng.integers(len(others))]][1], other_language=1)
+    return out
 
 
-def _between(made: np.ndarray, others: np.ndarray) -> float:
-    """Threshold a quarter of the way from the middle of the others to nearly the lowest held-out positive: an exact check follows, so it is to miss none."""
-    return 0.25 * float(np.quantile(made, 0.002)) + 0.75 * float(np.median(others))
+def calibrated(score: np.ndarray, y: np.ndarray, beta: float = 4.0) -> float:
+    """Threshold with the best F-score on held-out examples, recall counting ``beta`` times: the middle of the best gap."""
+    if not y.any():
+        return np.inf
+    order = np.argsort(-score, kind="stable")
+    hit, n = np.cumsum(y[order] > 0), np.arange(1, len(y) + 1)
+    f = (1 + beta**2) * hit / (n + beta**2 * hit[-1])
+    k = int(f.argmax())
+    return float((score[order[k]] + score[order[min(k + 1, len(y) - 1)]]) / 2)
 
 
 def _valley(real: np.ndarray, made: np.ndarray, rows: np.ndarray | None = None) -> float:
@@ -297,38 +308,58 @@ def _valley(real: np.ndarray, made: np.ndarray, rows: np.ndarray | None = None)
     return float((at[run[0]] + at[run[-1] + 1]) / 2)
 
 
-def fit(pairs: list[Example], odds_of, seed: int = 3) -> Model | None:
-    """Classifier from a sample of pairs; None without any."""
-    if not pairs:
+def fit(made: list[Made], odds: list[float], mined: list[Example], own: list[Example], seed: int = 3) -> Model | None:
+    """Classifier from made examples with the log-odds of their ends, mined refusals and the sampled pairs themselves; None without any.
+
+    A second round leaves out the table's texts that the first takes for refusals, and mined ones that it doesn't.
+    """
+    if not made:
         return None
     rng = np.random.default_rng(seed)
-    pool = [p for p in pairs if not is_empty(p.response) and not T.is_copy(p.response, p.question) and p.odds > T.DEFAULT_THRESHOLD] or pairs
-    clean = [p for p in pool if foreign(p.question, p.response) < 2] or pool
-    model = None
-    refusal = LABELS.index("refusal")
-    for first in (True, False):
-        if model is not None:  # suspected refusals leave the clean examples
-            flags = classify(clean, model)
-            clean = [p for p, f in zip(clean, flags, strict=True) if not f[refusal]] or clean
-        examples, y, real = synthesise(clean, pool, odds_of, rng)
-        weight = np.ones_like(y)
-        if first:  # the table's texts may hold refusals: they count little against a refusal's wording
-            weight[real, refusal] = SUSPECT
-        slots, owner = gram_slots([e.response for e in examples])
-        dense = pair_features(examples)
-        held = rng.random(len(examples)) < 0.25
-        take = ~held[owner]
-        new = np.cumsum(~held) - 1
-        grams, w = _learn(slots[take], new[owner[take]], dense[~held], y[~held], weight[~held])
-        score = _scores(slots, owner, dense, grams, w)
-        cuts = np.array([_between(score[held & (y[:, k] > 0), k], score[held & (y[:, k] == 0), k]) if y[held, k].any() else 0.0 for k in range(len(LABELS))])
-        own_slots, own = gram_slots([p.response for p in pairs])
-        texts = np.array([not is_empty(p.response) for p in pairs])
-        cuts[refusal] = _valley(_scores(own_slots, own, pair_features(pairs), grams, w)[texts, refusal], score[held & (y[:, refusal] > 0), refusal]) if texts.any() and y[held, refusal].any() else 0.0
-        model = Model(grams, w, cuts, score[held & (y[:, refusal] > 0), refusal])
-        if first:
-            model.thresholds[refusal] = SUSPICION
-    return model
+    examples = [Example(m.question, m.response, o) for m, o in zip(made, odds, strict=True)]
+    suspected = np.array([is_empty(p.response) or T.is_copy(p.response, p.question) or p.odds <= T.DEFAULT_THRESHOLD or foreign(p.question, p.response) >= 2 for p in own])
+    source = np.array([m.source for m in made])
+    if suspected.all():
+        suspected[:] = False
+    refusal, cut = LABELS.index("refusal"), LABELS.index("truncated")
+    clear = np.array([not m.labels[cut] or o < T.HIGH for m, o in zip(made, odds, strict=True)])  # a cut at what may be an end teaches nothing
+    all_y, all_real = np.array([m.labels for m in made], dtype=np.float32), np.array([m.real for m in made])
+    half = lambda n: np.arange(n) % 2
+
+    def prepared(use: np.ndarray, mined: list[Example]):
+        chosen = [examples[i] for i in use] + mined
+        extra_y = np.zeros((len(mined), len(LABELS)), dtype=np.float32)
+        extra_y[:, refusal] = 1
+        return *gram_slots([e.response for e in chosen]), pair_features(chosen), np.concatenate([all_y[use], extra_y])
+
+    def learn(slots, owner, dense, y, weight, rows):
+        take, new = rows[owner], np.cumsum(rows) - 1
+        return _learn(slots[take], new[owner[take]], dense[rows], y[rows], weight[rows])
+
+    # first round: the table's texts count little against a refusal's wording, and each is judged by a machine that has not seen it
+    use = np.flatnonzero(~suspected[source] & clear)
+    slots, owner, dense, y = prepared(use, mined)
+    weight = np.ones_like(y)
+    weight[np.flatnonzero(all_real[use]), refusal] = SUSPECT
+    fold = np.concatenate([half(len(own))[source[use]], half(len(mined))])
+    doubt, sure = np.full(len(own), -np.inf), np.full(len(mined), -np.inf)
+    for k in (0, 1):
+        grams, w = learn(slots, owner, dense, y, weight, fold != k)
+        own_part, mined_part = np.flatnonzero(half(len(own)) == k), np.flatnonzero(half(len(mined)) == k)
+        for part, texts, into in ((own_part, own, doubt), (mined_part, mined, sure)):
+            if len(part):
+                rows = [texts[i] for i in part]
+                into[part] = _scores(*gram_slots([e.response for e in rows]), pair_features(rows), grams, w)[:, refusal]
+    # second round: the texts that the first takes for refusals are none of the clean ones, the surest are examples, and mined ones that it doesn't take for any are out
+    more = [e for e, s, out in zip(own, doubt, suspected, strict=True) if s >= SURE and not out]
+    if not (suspected | (doubt >= SUSPICION)).all():
+        suspected = suspected | (doubt >= SUSPICION)
+    slots, owner, dense, y = prepared(np.flatnonzero(~suspected[source] & clear), [e for e, s in zip(mined, sure, strict=True) if s >= SUSPICION] + more)
+    held = rng.random(len(y)) < 0.25
+    grams, w = learn(slots, owner, dense, y, np.ones_like(y), ~held)
+    score = _scores(slots, owner, dense, grams, w)
+    cuts = np.array([calibrated(score[held, k], y[held, k]) for k in range(len(LABELS))])
+    return Model(grams, w, cuts, score[held & (y[:, refusal] > 0), refusal])
 
 
 def label_scores(examples: list[Example], model: Model) -> np.ndarray:
@@ -344,59 +375,118 @@ def classify(examples: list[Example], model: Model) -> np.ndarray:
     return label_scores(examples, model) >= model.thresholds
 
 
-def sure_defect(example: Example, flags: np.ndarray) -> str | None:
-    """The first defect but refusal and truncation, whose cuts are set from all rows: flagged by the classifier and checked exactly."""
-    on = dict(zip(LABELS, flags, strict=True))
-    if on["empty"] and is_empty(example.response):
-        return "empty"
-    if on["copy"] and T.is_copy(example.response, example.question):
-        return "copy"
-    if on["other_language"] and foreign(example.question, example.response) >= 2:
-        return "other_language"
-    return None
+def question_form(question: Column) -> Column:
+    """The first two words of a question."""
+    return F.lower(F.regexp_extract(question, r"^\P{L}*(\p{L}[\p{L}'’-]*\P{L}+\p{L}+)", 1))
+
+
+def without_figures(replies: DataFrame) -> DataFrame:
+    """(q, r, column, asked): responses (id, q, r, column) without a figure, at most ``MINED`` of those to questions of a form whose responses mostly have one (asked) and as many of others."""
+    figure = F.regexp_replace("r", r"(?<!\d)(?:19|20)\d\d(?!\d)", "").rlike(r"\p{Nd}")
+    rows = replies.where(F.col("r").rlike(r"[\p{L}\p{N}]")).withColumns({"form": question_form(F.col("q")), "figure": figure})
+    forms = rows.groupBy("form").agg(F.avg(F.col("figure").cast("double")).alias("share")).where(F.col("form") != "").select("form", (F.col("share") >= FIGURED).alias("asked"))
+    found = rows.where(~F.col("figure") & F.col("r").rlike(r"\p{L}")).join(forms, "form")
+    drawn = [found.where(F.col("asked") == a).orderBy(F.xxhash64("id", "column"), "id", "column").limit(MINED) for a in (True, False)]
+    return drawn[0].unionByName(drawn[1]).select("q", "r", "column", "asked")
+
+
+def screened(candidates: list[tuple], others: list[tuple]) -> list[tuple]:
+    """Candidates of refusals (question, response, ...) less those that read like responses to questions that ask for no figure.
+
+    Such responses decline as rarely as any, so words that candidates have much more often are those of refusals.
+    """
+    if not candidates or not others:
+        return candidates
+    slots, owner = gram_slots([r for _, r, *_ in candidates + others])
+    y = np.r_[np.ones(len(candidates)), np.zeros(len(others))].astype(np.float32)[:, None]
+    weight = np.where(y > 0, len(y) / 2 / len(candidates), len(y) / 2 / len(others)).astype(np.float32)
+    dense = np.zeros((len(y), DENSE), dtype=np.float32)
+    dense[:, 0] = 1
+    fold, kept = np.arange(len(y)) % FOLDS, []
+    for k in range(FOLDS):  # a candidate is judged by a machine that has not seen it
+        take = fold[owner] != k
+        new = np.cumsum(fold != k) - 1
+        score = _scores(slots, owner, dense, *_learn(slots[take], new[owner[take]], dense[fold != k], y[fold != k], weight[fold != k]))[:, 0]
+        kept += np.flatnonzero((score >= SURE) & (fold == k) & (y[:, 0] > 0)).tolist()
+    return [candidates[i] for i in sorted(kept)]
+
+
+def sampled(src: DataFrame, fields: list[str]) -> tuple[list[tuple[str, str, int]], list[tuple[str, str, int]]]:
+    """(pairs to make examples of, candidates of refusals), each (question, response, column), of rows (_id, _q, fields)."""
+    got = src.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).toPandas()
+    pairs = [(q or "", r or "", k) for k, name in enumerate(fields) for q, r in zip(got["_q"], got[name], strict=True)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("column"), F.col(c).alias("r")) for k, c in enumerate(fields))))
+    drawn = without_figures(src.select(F.col("_id").alias("id"), F.col("_q").alias("q"), each.alias("x")).select("id", "q", "x.*")).collect()
+    whole = [((r.q, r.r, r.column), r.asked) for r in drawn if not is_empty(r.r) and not T.is_copy(r.r, r.q) and foreign(r.q, r.r) < 1]
+    return pairs, screened([x for x, asked in whole if asked], [x for x, asked in whole if not asked])
+
+
+def _odds_of(scores: DataFrame, texts: list[tuple[str, str, int]], counted: bool) -> list[float]:
+    """Log-odds of the ends of some texts (question, response, column), which the scores hold as the table's own or as extra ones; 0 where there is none."""
+    ends = [T.end_of(r, q) for q, r, _ in texts]
+    kinds = (0, 1) if counted else (2, 3)
+    ids = {(kinds[0], T.tail_id(e.tail, c)) for e, (_, _, c) in zip(ends, texts, strict=True) if e} | {(kinds[1], T.token_id(e.token)) for e in ends if e and e.token}
+    if not ids:
+        return [0.0] * len(texts)
+    wanted = scores.sparkSession.createDataFrame(sorted(ids), "kind int, id long")
+    known = {(r.kind, r.id): r.logit for r in scores.join(F.broadcast(wanted), ["kind", "id"]).collect()}
+    out = []
+    for e, (_, _, c) in zip(ends, texts, strict=True):
+        if e is None or not e.case:
+            out.append(0.0)
+            continue
+        s, w = known.get((kinds[0], T.tail_id(e.tail, c)), 0.0), known.get((kinds[1], T.token_id(e.token)), 9.0) if e.token else 9.0
+        out.append((min(s, -9.0) if e.forced else s) + min(w + T.SLACK, 0.0) - (T.MARKED if e.marked else 0.0))
+    return out
 
 
 def defects(rows: DataFrame, row_id: str, question: str, fields: list[str], expected_refusal: str) -> DataFrame:
     """(row_id, field, defect) of every response, defect being null where there is none."""
     spark = rows.sparkSession
-    counts = T.gather(rows, question, fields)
-    src = rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), F.col(question).alias("_q"), F.coalesce(F.col(expected_refusal), F.lit(False)).alias("_e"), *fields)
-    sampled = src.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).toPandas()
-    pairs = []
-    for column, name in enumerate(fields):
-        odds = T.judge(list(sampled[name]), list(sampled["_q"]), counts, column)
-        pairs += [Example(q or "", r or "", o if o is not None else 0.0) for q, r, o in zip(sampled["_q"], sampled[name], odds, strict=True)]
-
-    def odds_of(responses: list[str]) -> list[float]:
-        odds = T.judge(responses, [None] * len(responses), counts, 0)
-        return [0.0 if o is None else o for o in odds]
-
-    model = fit(pairs, odds_of)
     kind = rows.schema[row_id].dataType.simpleString()
-    if model is None:
+    src = rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), F.col(question).alias("_q"), F.coalesce(F.col(expected_refusal), F.lit(False)).alias("_e"), *fields)
+    pairs, candidates = sampled(src, fields)
+    made = synthesise(pairs, np.random.default_rng(5))
+    if not made:
         return spark.createDataFrame([], f"{row_id} {kind}, field string, defect string")
-    sent = spark.sparkContext.broadcast((counts, model))
-    truncated, refusal = LABELS.index("truncated"), LABELS.index("refusal")
+    texts = [(m.question, m.response, m.column) for m in made]
+    extra = [(c, e.tail, e.token) for q, r, c in texts + candidates if (e := T.end_of(r, q))]
+    ends = checkpointed(T.ended(rows, row_id, question, fields))
+    scores = T.end_scores(rows, ends, question, fields, extra)
+    odds = _odds_of(scores, texts + candidates, counted=False)
+    mined = [Example(q, r, o) for (q, r, _), o in zip(candidates, odds[len(texts) :], strict=True) if o > T.DEFAULT_THRESHOLD]
+    own = [Example(q, r, o) for (q, r, _), o in zip(pairs, _odds_of(scores, pairs, counted=True), strict=True)]
+    model = fit(made, odds[: len(texts)], mined, own)
+    sent = spark.sparkContext.broadcast(model)
+    names = [f"_s{k}" for k in range(len(LABELS))]
 
     def judge(frames):
-        c, m = sent.value
+        m = sent.value
         for f in frames:
             for column, name in enumerate(fields):
                 values, questions = [v or "" for v in f[name]], [q or "" for q in f["_q"]]
-                odds = T.judge(values, questions, c, column)
-                examples = [Example(q, v, 0.0 if o is None else o) for q, v, o in zip(questions, values, odds, strict=True)]
+                examples = [Example(q, v, 0.0) for q, v in zip(questions, values, strict=True)]
+                ends = [T.end_of(v, q) for v, q in zip(values, questions, strict=True)]
+                none = T.End("", "", False, False, False)
+                e = [x or none for x in ends]
                 scores = label_scores(examples, m)
-                flags = scores >= m.thresholds
                 yield pd.DataFrame({
-                    "_id": f["_id"], "_e": f["_e"], "field": name, "language": T.languages(values), "log_odds": pd.Series(odds, index=f.index, dtype="float64"), "cuttable": flags[:, truncated],
-                    "refusal": pd.Series(np.floor(scores[:, refusal] * FINE) / FINE, index=f.index), "empty": [is_empty(v) for v in values], "sure": [sure_defect(e, g) for e, g in zip(examples, flags, strict=True)],
+                    "_id": f["_id"], "_e": f["_e"], "field": name, "language": T.languages(values), "_tail_id": [T.tail_id(x.tail, column) for x in e], "_token_id": [T.token_id(x.token) for x in e], "_case": [x.case for x in e], "_forced": [x.forced for x in e],
+                    "_marked": [x.marked for x in e], "_is_empty": [is_empty(v) for v in values], "_is_copy": [T.is_copy(bare(v), q) for v, q in zip(values, questions, strict=True)], "_strange": [foreign(q, v) for v, q in zip(values, questions, strict=True)],
+                    **{n: scores[:, k] for k, n in enumerate(names)},
                 })
 
-    out = checkpointed(src.mapInPandas(judge, f"_id {kind}, _e boolean, field string, language string, log_odds double, cuttable boolean, refusal double, empty boolean, sure string"))
-    bins = out.where("not empty").groupBy("refusal").agg(F.count("*").alias("n")).collect()
-    refused_from = _valley(np.array([r.refusal for r in bins]), model.refused, np.array([float(r.n) for r in bins])) if bins and len(model.refused) else float(model.thresholds[refusal])
+    schema = f"_id {kind}, _e boolean, field string, language string, _tail_id long, _token_id long, _case boolean, _forced boolean, _marked boolean, _is_empty boolean, _is_copy boolean, _strange double, " + ", ".join(f"{n} double" for n in names)
+    judged = T.with_odds(src.mapInPandas(judge, schema), scores)
+    part = F.least(F.greatest(F.coalesce("log_odds", F.lit(0.0)), F.lit(-10.0)), F.lit(4.0)) / 2  # the features were read without the end's odds
+    judged = judged.withColumns({n: F.col(n) + part * F.lit(float(model.dense[ODDS, k])) for k, n in enumerate(names)})
+    empty, copy, _, cut, foreign_ = (F.col(n) >= F.lit(float(t)) for n, t in zip(names, model.thresholds, strict=True))
+    flagged = {"_empty": empty & F.col("_is_empty"), "_copy": copy & F.col("_is_copy"), "_cut": cut, "_foreign": foreign_ & (F.col("_strange") >= 2), "_refusal": F.floor(F.col(names[2]) * FINE) / FINE}
+    out = checkpointed(judged.select("_id", "_e", "field", "language", "log_odds", "_is_empty", *(v.alias(k) for k, v in flagged.items())))
+    bins = out.where("not _is_empty").groupBy("_refusal").agg(F.count("*").alias("n")).collect()
+    refused_from = _valley(np.array([r["_refusal"] for r in bins]), model.refused, np.array([float(r.n) for r in bins])) if bins and len(model.refused) else float(model.thresholds[2])
     defect = (
-        F.when(F.col("sure").isin("empty", "copy"), F.col("sure")).when((F.col("refusal") >= refused_from) & ~F.col("_e"), "refusal")
-        .when(F.col("cuttable") & (F.col("log_odds") < T.limits(out)), "truncated").otherwise(F.col("sure"))
+        F.when(F.col("_empty"), "empty").when(F.col("_copy"), "copy").when((F.col("_refusal") >= refused_from) & ~F.col("_e"), "refusal")
+        .when(F.col("_cut") & (F.col("log_odds") < T.limits(out)), "truncated").when(F.col("_foreign"), "other_language")
     )
     return out.select(F.col("_id").alias(row_id), "field", defect.alias("defect"))

@@ -2,14 +2,15 @@
 
 Two backward character n-gram models compare, for the last characters of a text, the likelihood that it ends
 there with the likelihood that it goes on. The *sentence* model reads a skeleton (names and figures as one
-symbol each, the start marked); the *word* model reads the characters of names and figures. Both back off from long contexts to short ones, and leave out the count that
-a text itself gave its own end. A text's log-odds are the sentence's, less what the word's lack; the threshold lies in the valley
-of the log-odds of its language and column.
+symbol each, the start marked); the *word* model reads the characters of names and figures. Both back off from long
+contexts to short ones, and leave out the count that a text itself gave its own end. A text's log-odds are the
+sentence's, less what the word's lack; the threshold lies in the valley of the log-odds of its language and column.
 
-Only contexts that stand at the end of some text are ever asked for. A first pass over the texts' ends gathers
-them, as 64-bit numbers with how often each is an end; a second pass over all characters of all texts counts how
-often each of them goes on. Every text counts, once for each question however often it is repeated. Texts share their ends, so these are few; should they be more than
-``MAX_CONTEXTS``, those seen least often as an end are left to their shorter contexts.
+Only contexts that stand at the end of some text are ever asked for. They are rows of a table: one for each
+distinct tail and order. All characters of all texts are then counted; a bit filter of at most 2^``FILTER_BITS``
+bits, the only thing that goes through the driver, turns away most contexts that nothing asks for, and an
+aggregate and a join by context settle the rest exactly, however many there are. The filter's size changes the rows
+shuffled, never the counts. Every text counts, once for each question however often it is repeated.
 
 What follows a cut without being text is left out first: white space, special tokens, dots that mark a cut,
 rules and context marks. Defined results: null and blank texts, texts without a letter or digit, and copies of
@@ -26,19 +27,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.quantities import language
 from ledgerloom.session import checkpointed
 
-BITS = 24
-MAX_CONTEXTS = 1 << 23
-TAIL = 220  # characters whose skeleton holds the longest context
+FILTER_BITS = 28  # most bits of the filter: 32 MB a task, a row of at most 64 of them to the driver
+TAIL, KEEP = 320, 64  # characters first masked for a tail, and characters of a tail's skeleton that hold the longest context
+FLUSH = 2_000_000  # counts a task holds before it hands them on
 SENTENCE_ORDERS = ((2,), (4, 2), (8,), (8, 4), (16,), (16, 8), (32,), (32, 16))
 WORD_ORDERS = (1, 2, 3, 4, 5, 6)
 BACKOFF, WORD_BACKOFF = 10.0, 6.0
-DEFAULT_THRESHOLD, LOW, HIGH, LEAST = -3.75, -4.75, -3.5, 300
+DEFAULT_THRESHOLD, LOW, HIGH, PRIOR = -3.75, -4.75, -3.5, 12.0
 BATCH_CHARS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = 0x100000001B3
@@ -53,6 +55,7 @@ MARKED = 3.0  # what a mark of the cut adds to the odds
 _MASKED = re.compile(r"(\b[A-ZÀ-Ý][a-zà-ÿ]*\b|\d+(?:[.,]\d+)*)")  # names and figures
 _ALNUM = re.compile(r"[^\W_]")
 _SPECIAL = re.compile(r"<\|[a-z_]+\|>")
+_GAP = re.compile(r"\s")
 _CLOSERS = "\"'”’»)]"
 
 
@@ -80,6 +83,10 @@ def skeleton(text: str) -> str:
     return masked(text)[0]
 
 
+# What may stand beside a copied question.
+_LABELS = frozenset(("", "q", "question", "answer", "a", "frage", "antwort", "pregunta", "respuesta", "réponse", "qa", "questionanswer", "prompt"))
+
+
 def _same(text: str) -> str:
     return re.sub(r"[\W_]+", "", text).lower()
 
@@ -90,15 +97,18 @@ def _same_question(question: str) -> str:
 
 
 def is_copy(text: str, question: str | None) -> bool:
-    """Nothing but the question, perhaps with a label, quoted or repeated."""
-    if not question or len(text) > 8 * len(question) + 60:
+    """Nothing but the question, perhaps with a label, quoted or repeated however often."""
+    if not question:
         return False
     q = _same_question(question)
     if not q or len(text) < len(q):
         return False
+    head = _same(text[:400])
+    if len(head) > 60 and q[:12] not in head[:60]:  # more than a label stands before it
+        return False
     t = _same(text)
     rest = t.replace(q, "")
-    return len(rest) < len(t) and rest in ("", "q", "question", "answer", "a", "frage", "antwort", "pregunta", "respuesta", "réponse", "qa", "questionanswer", "prompt")
+    return len(rest) < len(t) and rest in _LABELS
 
 
 def _powers() -> dict[int, np.uint64]:
@@ -174,235 +184,269 @@ def _digits(word: str) -> str:
     return re.sub(r"\d", "9", word)
 
 
-class Counts(NamedTuple):
-    """Sorted context numbers with their ends and continuations: of the sentence model, then of the word model."""
+class End(NamedTuple):
+    """The end of a value: its skeleton's tail, the name or figure it ends in, whether it can be a case, and what fixed rules say."""
+
+    tail: str
+    token: str
+    case: bool
+    forced: bool
+    marked: bool
+
+
+def tail_of(text: str) -> str:
+    """The last characters of a proper text's skeleton, masked from white space as far back as they reach."""
+    n = TAIL
+    while n < len(text):
+        if gap := _GAP.search(text, len(text) - n):  # no name or figure spans white space
+            part = skeleton(text[gap.start() :])[1:]
+            if len(part) >= KEEP:
+                return part[-KEEP:]
+        n *= 2
+    return skeleton(text)[-KEEP:]
+
+
+def _last_token(text: str) -> str:
+    """The name or figure that the text ends in, if it ends in one."""
+    n = 48
+    while n < len(text) and not _GAP.search(text, len(text) - n):
+        n *= 2
+    bits = _MASKED.split(text[-n:].split()[-1])
+    return bits[-2] if len(bits) > 1 and not bits[-1] else ""
+
+
+def end_of(value: str | None, question: str | None) -> End | None:
+    """The end of a value; None for one that has no text."""
+    t = proper(value) if value else ""
+    if not t:
+        return None
+    case = bool(_ALNUM.search(_SPECIAL.sub("", t) if "<|" in t else t)) and not is_copy(t, question)
+    forced = t[-1] in _GOES_ON or t[-40:].split()[-1].lower().lstrip("([\"'“") in _OPEN_ENDS
+    return End(tail_of(t), _digits(_last_token(t)), case, forced, bool(_CUT_MARK.match(value, len(t))))
 
-    keys: np.ndarray
-    end: np.ndarray
-    more: np.ndarray
-    word_keys: np.ndarray
-    word_end: np.ndarray
-    word_more: np.ndarray
 
+def tail_id(tail: str, column: int) -> int:
+    return xxhash.xxh64_intdigest(tail, seed=column + 1) - (1 << 63)
 
-class _Lookup:
-    """Places of numbers among sorted keys; a bitmap of their first bits turns away nearly all that are none."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.seen = np.zeros(1 << BITS, dtype=bool)
-        self.seen[self._bits(keys)] = True
+def token_id(token: str) -> int:
+    return xxhash.xxh64_intdigest(token, seed=0) - (1 << 63)
 
-    @staticmethod
-    def _bits(v: np.ndarray) -> np.ndarray:
-        return (v.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int32)
 
-    def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of the numbers that are keys, their places)."""
-        at = np.flatnonzero(self.seen[self._bits(v)])
-        place = np.searchsorted(self.keys, v[at])
-        place[place == len(self.keys)] = 0
-        ok = self.keys[place] == v[at] if len(self.keys) else np.zeros(len(at), dtype=bool)
-        return at[ok], place[ok]
+def tail_numbers(tails: list[str], column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the tail, order, number) of every context at the ends of a column's tails."""
+    a, room, stops = _join(tails)
+    last, c = np.flatnonzero(stops), _Contexts(a, column)
+    own = [np.flatnonzero(room[last] >= size) for size in _SIZES]
+    return np.concatenate(own), np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate([c.at(k, last[x]) for k, x in enumerate(own)])
 
 
-def _tails(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Skeletons of the texts' ends joined, room before each byte, and the texts' last bytes."""
-    a, room, stops = _join([skeleton(t[-TAIL:])[1 if len(t) > TAIL else 0 :][-64:] for t in texts])
-    return a, room, np.flatnonzero(stops)
+def token_numbers(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the token, order, number) of the contexts that end names and figures."""
+    got = [(owner[ends], np.full(int(ends.sum()), k), slot[ends]) for k, (slot, owner, ends) in enumerate(_word_slots(tokens))]
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
-def end_contexts(columns: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence contexts at text ends, how often each, word contexts of last words) of some columns' proper texts."""
-    found, words = [np.empty(0, dtype=np.int64)], set()
-    for column, texts in enumerate(columns):
-        if not texts:
-            continue
-        a, room, last = _tails(texts)
-        c = _Contexts(a, column)
-        found += [c.at(k, last[room[last] >= size]) for k, size in enumerate(_SIZES)]
-        words.update(_digits(w) for t in texts if (w := _last_token(t)))
-    keys, n = np.unique(np.concatenate(found), return_counts=True)
-    word_keys = np.unique(np.concatenate([v[ends] for v, _, ends in _word_slots(sorted(words))])) if words else np.empty(0, dtype=np.int64)
-    return keys, n, word_keys
+class Filter:
+    """Bits of the numbers sought: turns away nearly all others."""
 
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.shift, self.packed = np.uint64(64 - bits), packed
 
-def count_texts(columns: list[list[str]], lookup: _Lookup, word_lookup: _Lookup, counts: Counts) -> None:
-    """Add the continuations of the sought contexts in some columns' texts, and both counts of the sought word contexts."""
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        """Indices of the numbers that may be sought."""
+        at = (v.view(np.uint64) >> self.shift).astype(np.int64)
+        return np.flatnonzero(self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+
+class _Tally:
+    """Sums by number, merged when many are held."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, ends: np.ndarray, more: np.ndarray) -> None:
+        if len(keys):
+            self.held.append((keys, ends, more))
+            self.size += len(keys)
+
+    def merged(self) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({"key": np.empty(0, np.int64), "e": np.empty(0, np.int64), "m": np.empty(0, np.int64)})
+        keys, ends, more = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        keys, place = np.unique(keys, return_inverse=True)
+        e, m = (np.bincount(place, x, minlength=len(keys)).astype(np.int64) for x in (ends, more))
+        self.held, self.size = [(keys, e, m)], len(keys)
+        return pd.DataFrame({"key": keys, "e": e, "m": m})
+
+    def compact(self) -> bool:
+        """Whether so many numbers are held, even merged, that they should be handed on."""
+        if self.size > FLUSH:
+            self.merged()
+        return self.size > FLUSH // 2
+
+
+def count_texts(texts: list[str], column: int, sought: Filter, tally: _Tally) -> None:
+    """Add how often each context that may be sought goes on in a column's proper texts, and both counts of those of names and figures."""
     words: Counter[str] = Counter()
 
-    def flush(held: list[str], column: int):
+    def flush(held: list[str]):
         a, room, stops = _join(held)
         c, alive = _Contexts(a, column), np.flatnonzero((a != 0) & ~stops & (room >= 2))
         pairs = np.bincount(a[alive - 1].astype(np.int64) * 256 + a[alive], minlength=1 << 16)
-        at, place = lookup(_pair_numbers(column))  # nearly all pairs occur: counted without a look-up each
-        np.add.at(counts.more, place, pairs[at])
+        numbers = _pair_numbers(column)  # nearly all pairs occur: counted without a look-up each
+        at = sought(numbers)
+        at = at[pairs[at] > 0]
+        tally.add(numbers[at], np.zeros(len(at)), pairs[at])
         for k, size in list(enumerate(_SIZES))[1:]:  # a context is sought only if its shorter ones are
             alive = alive[room[alive] >= size]
-            at, place = lookup(c.at(k, alive))
+            v = c.at(k, alive)
+            at = sought(v)
             alive = alive[at]
-            counts.more[:] += np.bincount(place, minlength=len(counts.more))
-
-    for column, texts in enumerate(columns):
-        held, size = [], 0
-        for t in texts:
-            mask, own = masked(t)
-            held.append(mask)
-            words.update(own)
-            size += len(t)
-            if size > BATCH_CHARS:
-                flush(held, column)
-                held, size = [], 0
-        if held:
-            flush(held, column)
+            keys, n = np.unique(v[at], return_counts=True)
+            tally.add(keys, np.zeros(len(keys)), n)
+
+    held, size = [], 0
+    for t in texts:
+        mask, own = masked(t)
+        held.append(mask)
+        words.update(own)
+        size += len(t)
+        if size > BATCH_CHARS:
+            flush(held)
+            held, size = [], 0
+    if held:
+        flush(held)
     merged: Counter[str] = Counter()
     for w, n in words.items():
         merged[_digits(w)] += n
     if merged:
         weight = np.array(list(merged.values()), dtype=float)
         for slot, owner, stops in _word_slots(list(merged)):
-            at, place = word_lookup(slot)
+            at = sought(slot)
             w = weight[owner[at]]
-            counts.word_end[:] += np.bincount(place, w * stops[at], minlength=len(counts.word_end))
-            counts.word_more[:] += np.bincount(place, w * ~stops[at], minlength=len(counts.word_more))
-
-
-def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.log(p / (1 - p))
-
-
-def log_odds(texts: list[str], counts: Counts, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence and word log-odds of the ends of a column's proper, non-empty texts, each one's own count left out."""
-    if not texts:
-        return np.empty(0), np.empty(0)
-    a, room, last = _tails(texts)
-    c, lookup = _Contexts(a, column), counts.keys
-    p = np.full(len(texts), 0.02)
-    for k, size in enumerate(_SIZES):
-        own = np.flatnonzero(room[last] >= size)
-        v = c.at(k, last[own])
-        s = np.minimum(np.searchsorted(lookup, v), max(len(lookup) - 1, 0))
-        known = lookup[s] == v if len(lookup) else np.zeros(len(own), dtype=bool)
-        own, s = own[known], s[known]
-        e, m = np.maximum(counts.end[s] - 1, 0), counts.more[s]
-        p[own] = (e + BACKOFF * p[own]) / (e + m + BACKOFF)
-    sentence = _logit(p)
-    for i, t in enumerate(texts):
-        if t[-1] in _GOES_ON or t.split()[-1].lower().lstrip("([\"'“") in _OPEN_ENDS:
-            sentence[i] = min(sentence[i], -9.0)
-    tokens = [_last_token(t) for t in texts]
-    have = np.array([i for i, w in enumerate(tokens) if w], dtype=np.int64)
-    word = np.full(len(texts), 9.0)
-    if len(have) and len(counts.word_keys):
-        q = np.full(len(have), 0.3)
-        for slot, owner, ends in _word_slots([_digits(tokens[i]) for i in have]):
-            key, own = slot[ends], owner[ends]
-            s = np.minimum(np.searchsorted(counts.word_keys, key), len(counts.word_keys) - 1)
-            known = counts.word_keys[s] == key
-            e, m = np.maximum(counts.word_end[s] - 1, 0), counts.word_more[s]
-            q[own] = np.where(known, (e + WORD_BACKOFF * q[own]) / (e + m + WORD_BACKOFF), q[own])
-        word[have] = _logit(q)
-    return sentence, word
-
+            tally.add(slot[at], w * stops[at], w * ~stops[at])
 
-def _last_token(text: str) -> str:
-    """The name or figure that the text ends in, if it ends in one."""
-    parts = _MASKED.split(text[-48:])
-    return parts[-2] if len(parts) > 1 and not parts[-1] else ""
 
+def ended(rows: DataFrame, row_id: str, question: str, text_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One row per value: row_id, kept columns, field, language, its end, numbers of tail and token, and two numbers of (question, field, text)."""
+    keep = keep or []
+    kinds = [rows.schema[c].dataType.simpleString() for c in (row_id, *keep)]
+    schema = ", ".join(f"{c} {k}" for c, k in zip(("_id", *keep), kinds, strict=True)) + ", field string, _column int, language string, _d1 long, _d2 long, _tail string, _token string, _tail_id long, _token_id long, _case boolean, _forced boolean, _marked boolean"
 
-def gather(rows: DataFrame, question: str, text_cols: list[str]) -> Counts:
-    """Counts over every value of the columns, in two passes; the driver gets at most MAX_CONTEXTS numbers of each model."""
-    each = [F.struct(F.lit(k).alias("column"), F.col(c).alias("text")) for k, c in enumerate(text_cols)]
-    texts = checkpointed(rows.select(F.xxhash64(question).alias("asked"), F.explode(F.array(*each)).alias("t")).select("asked", "t.*").where("text is not null").distinct())
-    tails = texts.select("column", F.substring("text", F.greatest(F.length("text") - TAIL - 99, F.lit(1)), F.lit(TAIL + 100)).alias("text"))
-
-    def columns(f: pd.DataFrame) -> list[list[str]]:
-        out = [[] for _ in text_cols]
-        for k, t in zip(f["column"], f["text"], strict=True):
-            if p := proper(t):
-                out[k].append(p)
-        return out
-
-    def ends(frames):
+    def read(frames):
         for f in frames:
-            keys, n, words = end_contexts(columns(f))
-            yield pd.DataFrame({"kind": np.repeat([0, 1], [len(keys), len(words)]).astype(np.int32), "key": np.r_[keys, words], "n": np.r_[n, np.ones(len(words), dtype=np.int64)]})
-
-    found = checkpointed(tails.mapInPandas(ends, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    least = 1
-    while found.where(F.col("n") >= least).count() > 2 * MAX_CONTEXTS:
-        least *= 2
-    got = found.where(F.col("n") >= least).toArrow()
-    kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
-    order = np.lexsort((key, kind))
-    kind, key, n = kind[order], key[order], n[order]
-    keys, word_keys = key[kind == 0], key[kind == 1]
-    sent = rows.sparkSession.sparkContext.broadcast((keys, word_keys))
+            for column, name in enumerate(text_cols):
+                values = list(f[f"_v{column}"])
+                ends = [end_of(v, q) for v, q in zip(values, f["_q"], strict=True)]
+                none = End("", "", False, False, False)
+                e = pd.DataFrame([x or none for x in ends], columns=["_tail", "_token", "_case", "_forced", "_marked"], index=f.index)
+                yield pd.DataFrame({
+                    "_id": f["_id"], **{k: f[k] for k in keep}, "field": name, "_column": np.int32(column), "language": languages(values), "_d1": f[f"_a{column}"], "_d2": f[f"_b{column}"], "_tail": e["_tail"].where(e["_tail"] != "", None), "_token": e["_token"],
+                    "_tail_id": [tail_id(t, column) for t in e["_tail"]], "_token_id": [token_id(t) for t in e["_token"]], "_case": e["_case"], "_forced": e["_forced"], "_marked": e["_marked"],
+                })
+
+    each = [x for k, c in enumerate(text_cols) for x in (F.col(c).alias(f"_v{k}"), F.xxhash64(question, F.lit(k), c).alias(f"_a{k}"), F.xxhash64(F.lit("salt"), c, F.lit(k), question).alias(f"_b{k}"))]
+    return rows.select(F.col(row_id).alias("_id"), *keep, F.col(question).alias("_q"), *each).mapInPandas(read, schema)
+
+
+def _sought(ends: DataFrame, extra: list[tuple[int, str, str]]) -> DataFrame:
+    """(kind, id, k, key, n): contexts of distinct tails (kind 0) and tokens (1), n texts having the tail; those of further tails (2) and tokens (3) that no text counts for."""
+    spark = ends.sparkSession
+    each = ends.where("_tail is not null").groupBy("_d1", "_d2").agg(F.first("_column").alias("_column"), F.first("_tail").alias("_tail"), F.first("_token").alias("_token"))
+    tails = each.groupBy("_column", "_tail").agg(F.count("*").alias("n")).select(F.lit(0).alias("kind"), F.col("_column").alias("c"), F.col("_tail").alias("s"), "n")
+    tokens = each.where("_token <> ''").select(F.lit(1).alias("kind"), F.lit(0).alias("c"), F.col("_token").alias("s"), F.lit(0).cast("long").alias("n")).distinct()
+    rows = tails.unionByName(tokens)
+    if extra:
+        more = sorted({(2, c, t, 0) for c, t, _ in extra} | {(3, 0, w, 0) for _, _, w in extra if w})
+        rows = rows.unionByName(spark.createDataFrame(more, "kind int, c int, s string, n long"))
+
+    def numbers(frames):
+        for f in frames:
+            for (kind, c), g in f.groupby(["kind", "c"], sort=False):
+                texts = list(g["s"])
+                of, k, key = tail_numbers(texts, int(c)) if kind in (0, 2) else token_numbers(texts)
+                ids = np.array([tail_id(t, int(c)) if kind in (0, 2) else token_id(t) for t in texts], dtype=np.int64)
+                yield pd.DataFrame({"kind": np.full(len(of), kind, np.int32), "id": ids[of], "k": k.astype(np.int32), "key": key, "n": g["n"].to_numpy()[of]})
+
+    return checkpointed(rows.mapInPandas(numbers, "kind int, id long, k int, key long, n long"))
+
+
+def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits of the numbers sought, gathered as at most 2^(FILTER_BITS - 6) words."""
+    n = keys.select(F.approx_count_distinct("key")).first()[0]
+    bits = max(min(max(int(n * 16).bit_length(), 16), FILTER_BITS), 7)
+    at = F.shiftrightunsigned("key", 64 - bits)
+    got = keys.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((shiftrightunsigned(key, {64 - bits}) & 63) as int))")).alias("b")).toArrow()
+    words = np.zeros(1 << bits - 6, dtype=np.int64)
+    words[got["w"].to_numpy()] = got["b"].to_numpy()
+    return bits, words.view(np.uint8)
+
+
+def end_scores(rows: DataFrame, ends: DataFrame, question: str, text_cols: list[str], extra: list[tuple[int, str, str]] | None = None) -> DataFrame:
+    """(kind, id, logit): log-odds of an end of every distinct tail and token; of the extra (column, tail, token) too, which count for nothing.
+
+    Tails are kind 0, tokens 1, extra ones 2 and 3. Counted are all characters of all texts of the columns, once a question.
+    """
+    keys = _sought(ends, extra or [])
+    bits, packed = _filter(keys)
+    sent = rows.sparkSession.sparkContext.broadcast(packed)
+    each = [F.struct(F.lit(k).alias("column"), F.col(c).alias("text")) for k, c in enumerate(text_cols)]
+    texts = rows.select(F.xxhash64(question).alias("asked"), F.explode(F.array(*each)).alias("t")).select("asked", "t.*").where("text is not null").distinct()
 
     def tally(frames):
-        keys, word_keys = sent.value
-        lookup, word_lookup = _Lookup(keys), _Lookup(word_keys)
-        c = Counts(keys, np.zeros(0), np.zeros(len(keys)), word_keys, np.zeros(len(word_keys)), np.zeros(len(word_keys)))
+        sought, held = Filter(bits, sent.value), _Tally()
         for f in frames:
-            count_texts(columns(f), lookup, word_lookup, c)
-        for kind, e, m in ((0, np.zeros(len(keys)), c.more), (1, c.word_end, c.word_more)):
-            at = np.flatnonzero((e > 0) | (m > 0))
-            yield pd.DataFrame({"kind": np.full(len(at), kind, dtype=np.int32), "place": at.astype(np.int32), "e": e[at].astype(np.int64), "m": m[at].astype(np.int64)})
+            column = f["column"].to_numpy()
+            for c in range(len(text_cols)):
+                if texts := [p for t in f["text"][column == c] if (p := proper(t))]:
+                    count_texts(texts, c, sought, held)
+            if held.compact():
+                yield held.merged()
+                held = _Tally()
+        yield held.merged()
 
-    got = texts.select("column", "text").mapInPandas(tally, "kind int, place int, e long, m long").groupBy("kind", "place").agg(F.sum("e").alias("e"), F.sum("m").alias("m")).toArrow()
-    kind_of, place, e, m = (got[c].to_numpy() for c in ("kind", "place", "e", "m"))
-    more, word_end, word_more = (np.zeros(len(k), dtype=np.float32) for k in (keys, word_keys, word_keys))
-    more[place[kind_of == 0]] = m[kind_of == 0]
-    word_end[place[kind_of == 1]], word_more[place[kind_of == 1]] = e[kind_of == 1], m[kind_of == 1]
-    return Counts(keys, n[: len(keys)].astype(np.float32), more, word_keys, word_end, word_more)
+    counted = texts.select("column", "text").mapInPandas(tally, "key long, e long, m long").groupBy("key").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
+    own = keys.groupBy("key").agg(F.sum("n").alias("n"))
+    counts = own.join(counted, "key", "left").select("key", (F.col("n") + F.coalesce("e", F.lit(0))).alias("e"), F.coalesce("m", F.lit(0)).alias("m"))
+    told = keys.select("kind", "id", "k", "key").join(counts, "key").groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("k", "e", "m"))).alias("c"))
+    prior, back = F.when(F.col("kind") % 2 == 0, 0.02).otherwise(0.3), F.when(F.col("kind") % 2 == 0, BACKOFF).otherwise(WORD_BACKOFF)
+    mine = F.when(F.col("kind") < 2, 1).otherwise(0)
 
+    def step(p: Column, x: Column) -> Column:
+        e = F.greatest(x["e"] - F.col("_own"), F.lit(0))
+        return (e + F.col("_back") * p) / (e + x["m"] + F.col("_back"))
 
-def languages(values: list[str | None]) -> list[str]:
-    """Language of the end of each value."""
-    return [language(v[-120:]) if v else "en" for v in values]
+    told = told.withColumns({"_own": mine, "_back": back, "_prior": prior})
+    p = F.least(F.greatest(F.aggregate("c", F.col("_prior"), step), F.lit(1e-9)), F.lit(1 - 1e-9))
+    return checkpointed(told.select("kind", "id", F.log(p / (1 - p)).alias("logit")))
 
 
-def judge(values: list[str | None], questions: list[str | None], counts: Counts, column: int) -> list[float | None]:
-    """Log-odds of each value; null where it is no text or a copy of its question."""
-    odds: list[float | None] = [None] * len(values)
-    own, texts = [], []
-    for i, (v, q) in enumerate(zip(values, questions, strict=True)):
-        t = proper(v) if v else ""
-        if _ALNUM.search(_SPECIAL.sub("", t)) and not is_copy(t, q):
-            own.append(i)
-            texts.append(t)
-    sentence, word = log_odds(texts, counts, column)
-    for i, t, s, w in zip(own, texts, sentence, word, strict=True):
-        odds[i] = float(s + min(w + SLACK, 0.0)) - (MARKED if _CUT_MARK.match(values[i], len(t)) else 0.0)
-    return odds
+def combined(sentence: Column, word: Column, forced: Column, marked: Column) -> Column:
+    """Log-odds of a value from those of its tail and token and from the fixed rules."""
+    s = F.when(forced, F.least(sentence, F.lit(-9.0))).otherwise(sentence)
+    return s + F.least(F.coalesce(word, F.lit(9.0)) + SLACK, F.lit(0.0)) - F.when(marked, MARKED).otherwise(0.0)
 
 
-def valley(histogram: dict[float, int]) -> float:
-    """The emptiest place between LOW and HIGH, the highest of about equal ones; the default for few values."""
-    if sum(histogram.values()) < LEAST:
-        return DEFAULT_THRESHOLD
-    at = np.arange(LOW, HIGH + 1e-9, 0.25)
-    n = np.array([histogram.get(float(x), 0) for x in at], dtype=float)
-    return float(at[np.flatnonzero(n <= 1.5 * n.min() + 1)[-1]])
+def with_odds(ends: DataFrame, scores: DataFrame) -> DataFrame:
+    """Values, which have the numbers of tail and token, with ``log_odds``; null where the value is no case."""
+    s = scores.where("kind = 0").select(F.col("id").alias("_tail_id"), F.col("logit").alias("_s"))
+    w = scores.where("kind = 1").select(F.col("id").alias("_token_id"), F.col("logit").alias("_w"))
+    odds = F.when(F.col("_case"), combined(F.col("_s"), F.col("_w"), F.col("_forced"), F.col("_marked")))
+    return ends.join(s, "_tail_id", "left").join(w, "_token_id", "left").withColumn("log_odds", odds).drop("_s", "_w")
 
 
-def judged(rows: DataFrame, counts: Counts, row_id: str, question: str, text_cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """One row per value: row_id, kept columns, field, language and log_odds."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
-    keep = keep or []
-    kinds = [rows.schema[c].dataType.simpleString() for c in (row_id, *keep)]
+def languages(values: list[str | None]) -> list[str]:
+    """Language of each value."""
+    return [language(v) if v else "en" for v in values]
 
-    def read(frames):
-        c = Counts(*sent.value)
-        for f in frames:
-            for column, name in enumerate(text_cols):
-                odds = judge(list(f[name]), list(f["_q"]), c, column)
-                yield pd.DataFrame({"_id": f["_id"], **{k: f[k] for k in keep}, "field": name, "language": languages(list(f[name])), "log_odds": pd.Series(odds, index=f.index, dtype="float64")})
 
-    src = rows.select(F.col(row_id).alias("_id"), *keep, F.col(question).alias("_q"), *text_cols)
-    return src.mapInPandas(read, ", ".join(f"{c} {k}" for c, k in zip(("_id", *keep), kinds, strict=True)) + ", field string, language string, log_odds double").withColumnRenamed("_id", row_id)
+def valley(histogram: dict[float, int]) -> float:
+    """The emptiest place between LOW and HIGH, the highest of about equal ones; a few values' worth of doubt keeps it near the default."""
+    at = np.arange(LOW, HIGH + 1e-9, 0.25)
+    n = np.array([histogram.get(float(x), 0) for x in at], dtype=float) + PRIOR * np.minimum(np.abs(at - DEFAULT_THRESHOLD), 1.0)
+    return float(at[np.flatnonzero(n <= 1.5 * n.min() + 1)[-1]])
 
 
 def limits(out: DataFrame) -> Column:
@@ -419,7 +463,8 @@ def limits(out: DataFrame) -> Column:
 
 
 def truncated(rows: DataFrame, row_id: str, question: str, text_cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Every value with its log-odds and whether it is cut; see :func:`judged` for the columns."""
-    counts = gather(rows, question, text_cols)
-    out = checkpointed(judged(rows, counts, row_id, question, text_cols, keep))
+    """Every value with its log-odds and whether it is cut: row_id, kept columns, field, language, log_odds, truncated."""
+    ends = checkpointed(ended(rows, row_id, question, text_cols, keep))
+    out = with_odds(ends, end_scores(rows, ends, question, text_cols))
+    out = checkpointed(out.select(F.col("_id").alias(row_id), *(keep or []), "field", "language", "log_odds"))
     return out.withColumn("truncated", F.coalesce(F.col("log_odds") < limits(out), F.lit(False)))
