@@ -8,10 +8,13 @@ subsequence, so a corpus is scored by table look-ups, with the work proportional
 
 Labels are given for documents, some wrongly, while the passage is a sentence. Training therefore
 alternates: each labelled-abusive document gives its highest windows as positives; documents without any
-window on the positive side drop out as mislabelled. The threshold is calibrated on held-out folds.
+window on the positive side drop out as mislabelled. Windows are looked for at every offset of a document. The
+threshold is calibrated on held-out folds and on the highest window of whole clean documents, which is what is asked later.
 
-The machine is fitted on a bounded sample of labelled documents (``MAX_POSITIVE``, ``MAX_NEGATIVE`` documents,
-``MAX_WINDOWS`` windows of each); every document is scored on its whole text.
+The machine is fitted by one task on a bounded sample of labelled documents (``MAX_POSITIVE``, ``MAX_NEGATIVE`` documents by the
+hash of their id, whole ones up to ``MAX_CHARS`` characters together, and as a third set ``MAX_OTHERS`` without a label, which teach
+once a machine takes them for abusive; of clean ones ``CLEAN`` windows by chance and the ``HARD`` that score
+highest); every document is scored on its whole text.
 
 Defined results: null and blank texts score null and are no cases; a text shorter than a window is one window;
 without both kinds of labels there is no model and every score is null; labels other than 0 and 1 and null ids
@@ -31,11 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import checkpointed
+
 WINDOW, STRIDE = 56, 14
-LANDMARKS, DECAY, ROUNDS, FOLDS = 400, 0.7, 6, 5
-CLEAN, CANDIDATES = 6000, 5  # clean windows in the machine; windows kept of a labelled-abusive document
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WINDOWS = 2000, 4000, 64
+LANDMARKS, DECAY, ROUNDS, FOLDS = 320, 0.7, 6, 5
+CLEAN, HARD, CANDIDATES = 5000, 1000, 5  # clean windows in the machine; windows kept of a labelled-abusive document
+MAX_POSITIVE, MAX_NEGATIVE, MAX_OTHERS, MAX_CHARS = 2000, 4000, 8000, 40_000_000
+SELF = 2  # rounds in which documents without a label teach
 RIDGE = 3.0
+BINS, AROUND = 20, 0.25  # bins of scores a unit, and how far from the labelled threshold the emptiest is looked for
 NEVER = -0.5  # held-out score below which hardly any abusive document falls
 BATCH_CHARS = 1_000_000
 _TAGS = re.compile(r"<[^<>]{1,80}>|&(?:[a-z]{2,6}|#x?[0-9a-f]{1,6});", re.I)
@@ -130,18 +137,19 @@ def _kernel(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out / np.float32(WINDOW**0.5)
 
 
-def _fit(phi: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared-hinge machine with an L2 penalty, by Newton steps; the last figure is the bias."""
-    x = np.hstack([phi, np.ones((len(phi), 1), dtype=np.float32)]).astype(np.float64)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Squared-hinge machine with an L2 penalty, by Newton steps; the last column of x is ones and the last figure the bias."""
+    w, penalty = start, np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-3
+    before = None
     for _ in range(25):
         active = y * (x @ w) < 1
-        xa = x[active] * weight[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + np.diag(penalty), xa.T @ y[active])
-        if np.abs(new - w).max() < 1e-6:
+        if before is not None and np.array_equal(active, before):
             break
-        w = new
+        xa = x[active]
+        weighed = xa * weight[active, None]
+        w = np.linalg.solve((xa.T @ weighed).astype(np.float64) + np.diag(penalty), weighed.T @ y[active].astype(np.float64)).astype(np.float32)
+        before = active
     return w
 
 
@@ -149,92 +157,157 @@ def _scores(ids: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     return (weights[ids] * _WEIGHTS).sum(axis=(1, 2)) / WINDOW**0.5 + bias
 
 
-def _window_scores(rows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Scores of many windows, in slices."""
-    return np.concatenate([_scores(_ids(rows[a : a + 1000]), weights, bias) for a in range(0, len(rows), 1000)])
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of the texts with gaps between, start of each)."""
+    gap = WINDOW + _REACH
+    sizes = np.array([len(c) + gap for c in texts])
+    out = np.zeros(int(sizes.sum()) + _REACH, dtype=np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    for a, c in zip(starts.tolist(), texts, strict=True):
+        out[a : a + len(c)] = c
+    return out, starts
+
+
+def _columns(joined: np.ndarray):
+    """(weight, subsequence numbers at every start) of each pattern of offsets."""
+    c = joined.astype(np.int64)
+    n = len(joined) - _REACH
+    for k, (p, off) in enumerate(_OFFSETS):
+        code = c[off[0] : n + off[0]]
+        for o in off[1:]:
+            code = code * 32 + c[o : n + o]
+        yield _WEIGHTS[k], code if p == 3 else _THREES + ((code * 2654435761 >> 7) & (_FOURS - 1))
+
+
+def _slices(texts: list[np.ndarray]):
+    """Runs of texts of about BATCH_CHARS symbols, a longer one alone."""
+    held, size = [], 0
+    for i, c in enumerate(texts):
+        if held and size + len(c) > BATCH_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(c)
+    if held:
+        yield held
+
+
+def all_scores(texts: list[np.ndarray], weights: np.ndarray, bias: float):
+    """(index, scores of the windows at every offset) of each text, in order."""
+    for part in _slices(texts):
+        joined, starts = _joined([texts[i] for i in part])
+        own = np.zeros(len(joined) - _REACH, dtype=np.float32)
+        for w, ids in _columns(joined):
+            own += w * weights[ids]
+        total = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
+        for i, at in zip(part, starts.tolist(), strict=True):
+            last = at + max(len(texts[i]) - WINDOW, 0)
+            yield i, (total[at + WINDOW : last + WINDOW + 1] - total[at : last + 1]) / WINDOW**0.5 + bias
+
+
+def _window(c: np.ndarray, at: int) -> np.ndarray:
+    out = np.zeros(WINDOW, dtype=np.uint8)
+    part = c[at : at + WINDOW]
+    out[: len(part)] = part
+    return out
 
 
-def _candidates(bags: list[np.ndarray], clean: np.ndarray, clean_docs: int, most: int) -> list[np.ndarray]:
-    """The windows of each bag richest in subsequences that several bags share and clean windows lack, at most ``most``, half a window apart."""
-    usual = np.zeros(FEATURES, dtype=np.float32)
-    for a in range(0, len(clean), 1000):
-        usual += np.bincount(_ids(clean[a : a + 1000]).ravel(), minlength=FEATURES)
-    shared = np.zeros(FEATURES, dtype=np.float32)
+def _candidates(bags: list[np.ndarray], clean: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """The windows of each bag richest in subsequences that several bags share and clean documents lack, at most ``most``, half a window apart."""
+    usual, shared = np.zeros(FEATURES, dtype=np.float32), np.zeros(FEATURES, dtype=np.float32)
+    for part in _slices(clean):
+        for _, ids in _columns(_joined([clean[i] for i in part])[0]):
+            usual += np.bincount(ids, minlength=FEATURES)
     for bag in bags:
-        shared[np.unique(_ids(bag))] += 1
-    rich = np.log((shared + 0.5) / (len(bags) + 1)) - np.log((usual + 0.5) / (clean_docs + 1))
-    rich[(shared < (3 if len(bags) >= 100 else 2)) | (rich < 0)] = 0
+        own = np.zeros(FEATURES, dtype=bool)
+        own[features(bag).ravel()] = True
+        shared += own
+    rich = np.log((shared + 0.5) / (len(bags) + 1)) - np.log((usual + 0.5) / (len(clean) + 1))
+    rich[(shared < 2) | (rich < 0)] = 0
     out = []
-    for bag in bags:
-        order, kept = np.argsort(-_window_scores(bag, rich, 0.0), kind="stable"), []
-        for i in order.tolist():
-            if all(abs(i - k) * STRIDE >= WINDOW // 2 for k in kept):
-                kept.append(i)
-            if len(kept) == most:
+    for i, score in all_scores(bags, rich, 0.0):
+        kept = []
+        for _ in range(most):
+            at = int(score.argmax())
+            if score[at] == -np.inf:
                 break
-        out.append(bag[kept])
+            kept.append(_window(bags[i], at))
+            score[max(at - WINDOW // 2 + 1, 0) : at + WINDOW // 2] = -np.inf
+        out.append(np.stack(kept))
     return out
 
 
-def _alternate(phi_p: np.ndarray, owner: np.ndarray, n_bags: int, phi_n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(positive windows, held-out score of each) after alternating between machines and their choice of windows.
+def _alternate(phi_p: np.ndarray, owner: np.ndarray, n_bags: int, phi_n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positive windows, held-out score of each, a machine to start from) after alternating between machines and their choice of windows.
 
     A window is judged by a machine that has not seen its bag, so a strange but single window finds no support.
     """
     fold_p, fold_n = rng.permutation(n_bags)[owner] % FOLDS, rng.integers(0, FOLDS, len(phi_n))
     chosen = np.ones(len(phi_p), dtype=bool)
     held = np.zeros(len(phi_p))
+    v = [np.zeros(phi_p.shape[1], dtype=np.float32) for _ in range(FOLDS)]
     for r in range(ROUNDS):
         for f in range(FOLDS):
-            own, clean = chosen & (fold_p != f), fold_n != f
-            v = _machine(phi_p[own], phi_n[clean])
-            held[fold_p == f] = phi_p[fold_p == f] @ v[:-1] + v[-1]
+            v[f] = _machine(phi_p[chosen & (fold_p != f)], phi_n[fold_n != f], v[f])
+            held[fold_p == f] = phi_p[fold_p == f] @ v[f]
         best = np.full(n_bags, -np.inf)
         np.maximum.at(best, owner, held)
         floor = -0.9 + 0.8 * min(r / (ROUNDS - 2), 1.0)
         chosen = (held >= best[owner] - 0.4) & (held > floor)
         if not chosen.any():
             chosen = held >= held.max()
-    return chosen, held
+    return chosen, held, v[0]
 
 
-def _machine(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+def _machine(pos: np.ndarray, neg: np.ndarray, start: np.ndarray) -> np.ndarray:
     up = max(1.0, 0.2 * len(neg) / max(len(pos), 1))
-    return _fit(np.vstack([pos, neg]), np.r_[np.ones(len(pos)), -np.ones(len(neg))], np.r_[np.full(len(pos), up), np.ones(len(neg))])
+    return _fit(np.vstack([pos, neg]), np.r_[np.ones(len(pos)), -np.ones(len(neg))].astype(np.float32), np.r_[np.full(len(pos), up), np.ones(len(neg))].astype(np.float32), start)
+
 
+def fit(docs: list[tuple[int, np.ndarray]], seed: int = 5, clean_total: int = 0, others: list[np.ndarray] | None = None) -> Model | None:
+    """Model from labelled documents, each (label, symbols), of which clean ones may be a sample of ``clean_total``; None without both labels.
 
-def fit(docs: list[tuple[int, list[bytes]]], seed: int = 5, clean_total: int = 0) -> Model | None:
-    """Model from labelled documents, each (label, windows as bytes), of which clean ones may be a sample of ``clean_total``; None without both labels."""
+    Of ``others``, documents without a label, the highest window of each that a machine takes for abusive teaches the next one.
+    """
     rng = np.random.default_rng(seed)
-    read = lambda y: [np.frombuffer(b"".join(w), dtype=np.uint8).reshape(-1, WINDOW) for label, w in docs if label == y and w]
-    bags, clean_docs = read(1), read(0)
-    if not bags or not clean_docs:
+    bags, clean = ([c for label, c in docs if label == y and len(c)] for y in (1, 0))
+    others = [c for c in others or [] if len(c)]
+    if not bags or not clean:
         return None
-    clean = np.concatenate(clean_docs)
-    pick = rng.permutation(len(clean))
-    cands = _candidates(bags, clean, len(clean_docs), CANDIDATES)
-    pos, owner = np.concatenate(cands), np.repeat(np.arange(len(cands)), [len(x) for x in cands])
-    neg = clean[pick[:CLEAN]]
-    marks = pos[np.r_[rng.permutation(np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])), rng.permutation(len(pos))][: LANDMARKS // 2]]
-    w = b = None
-    for round_ in range(2):
-        if w is not None:  # the clean windows that the first machine takes for abuse join, as windows and as landmarks
-            hard = clean[np.argsort(-_window_scores(clean, w, b))[: CLEAN // 6]]
-            neg = np.concatenate([neg, hard])
-            top = pos[chosen]
+    cands = _candidates(bags, clean, CANDIDATES)
+    own, own_bag = np.concatenate(cands), np.repeat(np.arange(len(cands)), [len(x) for x in cands])
+    sizes = np.array([max(len(c) - WINDOW, 0) + 1 for c in clean])
+    drawn = rng.integers(0, int(sizes.sum()), CLEAN)  # windows at random offsets of all clean documents
+    of = np.searchsorted(np.cumsum(sizes), drawn, side="right")
+    base = np.stack([_window(clean[i], at) for i, at in zip(of.tolist(), (drawn - (np.cumsum(sizes) - sizes)[of]).tolist(), strict=True)])
+    neg, more, weight = base, own[:0], clean_total / len(clean) if clean_total else 1.0
+    one = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    for round_ in range(2 + (SELF if others else 0)):
+        pos, owner = np.concatenate([own, more]), np.r_[own_bag, len(cands) + np.arange(len(more))]
+        if round_ == 0:
+            marks = pos[np.r_[rng.permutation(np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])), rng.permutation(len(pos))][: LANDMARKS // 2]]
+        else:  # the clean windows that the machine takes for abuse join, as windows and as landmarks
+            tops = [(float(s.max()), i, int(s.argmax())) for i, s in all_scores(clean, w, b)]
+            hard = np.stack([_window(clean[i], at) for _, i, at in sorted(tops, reverse=True)[:HARD]])
+            neg, top = np.concatenate([base, hard]), np.concatenate([own[chosen[: len(own)]], more])
             marks = np.concatenate([top[rng.permutation(len(top))[: LANDMARKS // 2]], hard[:: max(1, len(hard) // (LANDMARKS // 4))][: LANDMARKS // 4]])
-        own = np.concatenate([marks, neg[rng.permutation(len(neg))[: LANDMARKS - len(marks)]]])
-        table = _landmark_table(_ids(own))
-        vals, vecs = np.linalg.eigh(_kernel(_ids(own), table).astype(np.float64) + 1e-4 * np.eye(len(own)))
-        root = vecs / np.sqrt(np.maximum(vals, 1e-4))
-        phi_p, phi_n = (np.concatenate([_kernel(_ids(x[a : a + 1000]), table) for a in range(0, len(x), 1000)]) @ root for x in (pos, neg))
-        chosen, held = _alternate(phi_p, owner, len(cands), phi_n, rng)
-        v = _machine(phi_p[chosen], phi_n)
+        sample = np.concatenate([marks, neg[rng.permutation(len(neg))[: LANDMARKS - len(marks)]]])
+        table = _landmark_table(_ids(sample))
+        vals, vecs = np.linalg.eigh(_kernel(_ids(sample), table).astype(np.float64) + 1e-4 * np.eye(len(sample)))
+        root = (vecs / np.sqrt(np.maximum(vals, 1e-4))).astype(np.float32)
+        phi_p, phi_n = (one(np.concatenate([_kernel(_ids(x[a : a + 1000]), table) for a in range(0, len(x), 1000)]) @ root) for x in (pos, neg))
+        chosen, held, start = _alternate(phi_p, owner, int(owner[-1]) + 1, phi_n, rng)
+        v = _machine(phi_p[chosen], phi_n, start)
         w, b = (table @ (root @ v[:-1])).astype(np.float32), float(v[-1])
-    best = np.full(len(cands), -np.inf)
-    np.maximum.at(best, owner, held)
-    clean_best = np.maximum.reduceat(_window_scores(clean, w, b), np.cumsum([0] + [len(x) for x in clean_docs[:-1]]))
-    return Model(w, b, threshold(best, clean_best, clean_total / len(clean_docs) if clean_total else 1.0))
+        best = np.full(len(cands), -np.inf)
+        np.maximum.at(best, own_bag, held[: len(own)])
+        cut = threshold(best, np.array([s.max() for _, s in all_scores(clean, w, b)]), weight)
+        if others and 1 <= round_ <= SELF:
+            found = [(i, int(s.argmax())) for i, s in all_scores(others, w, b) if s.max() >= max(cut, 0.0)]
+            if len(found) <= len(more):
+                break
+            more = np.stack([_window(others[i], at) for i, at in found])
+    return Model(w, b, cut)
 
 
 def threshold(abusive: np.ndarray, clean: np.ndarray, weight: float = 1.0) -> float:
@@ -257,69 +330,52 @@ def threshold(abusive: np.ndarray, clean: np.ndarray, weight: float = 1.0) -> fl
 def score_texts(texts: list[str | None], model: Model) -> list[float | None]:
     """Highest window score of each text, over all of it; None for null and blank ones."""
     out: list[float | None] = [None] * len(texts)
-    held: list[tuple[int, np.ndarray]] = []
-
-    def flush():
-        if not held:
-            return
-        gap = np.zeros(WINDOW + _REACH, dtype=np.uint8)
-        joined = np.concatenate([x for _, c in held for x in (c, gap)])
-        n = len(joined)
-        c = np.concatenate([joined, np.zeros(_REACH, dtype=np.uint8)]).astype(np.int64)
-        part = np.zeros(n, dtype=np.float32)
-        for k, (p, off) in enumerate(_OFFSETS):
-            code = c[off[0] : n + off[0]]
-            for o in off[1:]:
-                code = code * 32 + c[o : n + o]
-            part += _WEIGHTS[k] * model.weights[code if p == 3 else _THREES + ((code * 2654435761 >> 7) & (_FOURS - 1))]
-        total = np.concatenate([[0.0], np.cumsum(part, dtype=np.float64)])
-        at = 0
-        for i, x in held:
-            last = at + max(len(x) - WINDOW, 0)
-            out[i] = float((total[at + WINDOW : last + WINDOW + 1] - total[at : last + 1]).max() / WINDOW**0.5 + model.bias)
-            at += len(x) + len(gap)
-        held.clear()
-
-    size = 0
-    for i, t in enumerate(texts):
-        if not t or not t.strip():
-            continue
-        c = codes(t)
-        if not len(c):
-            continue
-        held.append((i, c))
-        size += len(c)
-        if size > BATCH_CHARS:
-            flush()
-            size = 0
-    flush()
+    coded = [(i, c) for i, t in enumerate(texts) if t and t.strip() and len(c := codes(t))]
+    for k, s in all_scores([c for _, c in coded], model.weights, model.bias):
+        out[coded[k][0]] = float(s.max())
     return out
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str) -> Model | None:
-    """Model from the labelled documents; the sample is bounded, drawn by the hash of the id."""
+    """Model from the labelled documents, fitted by one task; the sample is bounded, drawn by the hash of the label's id.
+
+    Ids are drawn from the labels first, so the documents are read once and only those drawn are kept.
+    """
     votes = labels.where(F.col(label_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("l")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    drawn = [votes.where(F.col("y") == y).orderBy(F.xxhash64("l"), "l").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
+    ids = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("l"), F.lit(-1).alias("y"))
+    drawn.append(ids.orderBy(F.xxhash64("l", F.lit("other")), "l").limit(MAX_OTHERS))  # those with a label as well are left to the labels
+    picked = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).groupBy("l").agg(F.max("y").alias("y"))
     rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    known = rows.join(votes, F.col("d") == F.col("l"))
-    ordered = [known.where(F.col("y") == y).select("d", "t", "y").orderBy(F.xxhash64("d"), "d").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
+    known = rows.join(F.broadcast(picked), F.col("d") == F.col("l")).select(F.xxhash64("d").alias("h"), "d", "t", "y")
+    total = votes.where("y = 0").count()
+
+    def learn(frames):
+        got = pd.concat(list(frames), ignore_index=True)
+        docs, size = {-1: [], 0: [], 1: []}, dict.fromkeys((-1, 0, 1), 0)
+        for t, y in got.sort_values(["h", "d"])[["t", "y"]].itertuples(index=False):
+            if size[y] + len(t) <= MAX_CHARS // 3:
+                docs[y].append(codes(t))
+                size[y] += len(t)
+        m = fit([(y, c) for y in (1, 0) for c in docs[y]], clean_total=total, others=docs[-1])
+        yield pd.DataFrame([] if m is None else [(m.weights.tobytes(), m.bias, m.threshold)], columns=["w", "b", "t"])
+
+    got = known.repartition(1).mapInPandas(learn, "w binary, b double, t double").collect()
+    return Model(np.frombuffer(bytes(got[0].w), dtype=np.float32), got[0].b, got[0].t) if got else None
 
-    def cut(frames):
-        for f in frames:
-            out = []
-            for d, t, y in zip(f["d"], f["t"], f["y"], strict=True):
-                c = codes(t)
-                if len(c):
-                    w = windows(c, STRIDE if y else 3 * STRIDE)
-                    keep = np.sort(np.random.default_rng(int(d) & 0xFFFFFFFF).permutation(len(w))[:MAX_WINDOWS])
-                    out.append((d, y, w[keep].tobytes()))
-            yield pd.DataFrame(out, columns=["d", "y", "w"])
 
-    got = ordered[0].unionByName(ordered[1]).mapInPandas(cut, f"d {documents.schema[doc_id].dataType.simpleString()}, y int, w binary").collect()
-    return fit([(r.y, [bytes(r.w)]) for r in sorted(got, key=lambda r: r.d)], clean_total=votes.where("y = 0").count())
+def emptiest(histogram: dict[int, int], near: float) -> float:
+    """The score within ``AROUND`` of the labelled threshold around which fewest documents lie, the nearest to it among equals; bins are a twentieth wide."""
+    at = [round(near * BINS) + k for k in range(-round(AROUND * BINS), round(AROUND * BINS) + 1)]
+    crowd = lambda x: sum(histogram.get(x + d, 0) * (1 if abs(d + 0.5) < 1 else 0.5) for d in range(-2, 2))
+    return min(at, key=lambda x: (crowd(x), abs(x - near * BINS))) / BINS
 
 
 def scored(documents: DataFrame, model: Model | None, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """Every document's id, the columns to keep, ``score`` and ``abusive``."""
+    """Every document's id, the columns to keep, ``score`` and ``abusive``.
+
+    The threshold lies in the emptiest place of all documents' scores near the one that the labels give.
+    """
     rows = documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"), *(F.col(k) for k in keep or []))
     if model is None:
         return rows.select(F.col("_d").alias(doc_id), *(keep or []), F.lit(None).cast("double").alias("score"), F.lit(False).alias("abusive"))
@@ -329,5 +385,8 @@ def scored(documents: DataFrame, model: Model | None, doc_id: str, text: str, ke
     def score(t: pd.Series) -> pd.Series:
         return pd.Series(score_texts(list(t), Model(*sent.value)), dtype="float64")
 
-    s = score("_t")
-    return rows.select(F.col("_d").alias(doc_id), *(keep or []), s.alias("score")).withColumn("abusive", F.coalesce(F.col("score") >= F.lit(float(model.threshold)), F.lit(False)))
+    out = checkpointed(rows.select(F.col("_d").alias(doc_id), *(keep or []), score("_t").alias("score")))
+    low, high = (float(model.threshold) + x for x in (-2 * AROUND, 2 * AROUND))
+    near = out.where(F.col("score").between(low, high)).groupBy(F.floor(F.col("score") * BINS).alias("at")).agg(F.count("*").alias("n")).collect()
+    cut = emptiest({int(r["at"]): r.n for r in near}, float(model.threshold))
+    return out.withColumn("abusive", F.coalesce(F.col("score") >= F.lit(cut), F.lit(False)))

@@ -1,7 +1,7 @@
 """Lines repeated over the documents of one source, found and removed.
 
-A line's normal form drops letter case, white space and the digits of numbers. Lines are hashed, distinct
-documents are counted for each source and hash, and those at the threshold or above are joined back.
+A line's normal form drops letter case, white space and the digits of numbers. Lines are hashed to two numbers of
+64 bits from different seeds, distinct documents are counted for each source and hash, and those at the threshold or above are joined back.
 
 Only (source, hash, document) rows are shuffled for the count, partially aggregated before; a line that
 a third of all rows share is spread by its documents first. The texts meet the result by their own key.
@@ -25,7 +25,7 @@ def normal_line(line: Column) -> Column:
 def _lines(docs: DataFrame, row: str, doc: str, source: str, text: str) -> DataFrame:
     rows = docs.select(F.col(row).alias("_row"), F.col(doc).alias("_doc"), F.col(source).alias("_source"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "_line"))
     rows = rows.where(F.col("_source").isNotNull()).withColumn("_normal", normal_line(F.col("_line"))).where(F.col("_normal") != "")
-    hashed = F.struct(F.xxhash64("_normal").alias("a"), F.xxhash64("_normal", F.length("_normal")).alias("b"))
+    hashed = F.struct(F.xxhash64("_normal").alias("a"), F.xxhash64(F.lit("salt"), "_normal").alias("b"))
     return rows.select("_row", "_doc", "_source", "line_no", hashed.alias("_hash"))
 
 

@@ -83,7 +83,8 @@ def sample(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def shares(sampled: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target source: documents, copies and tokens drawn, its target share and the share it reached."""
+    """Per target source: documents, copies and tokens drawn, its target share, the share it reached and by how much they differ."""
     got = sampled.groupBy("source").agg(F.count("*").alias("docs_drawn"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_drawn"))
     rows = plan.select("source", F.col("share").alias("target_share"), "repeats", "tokens").join(got, "source", "left").na.fill(0, ["docs_drawn", "copies", "tokens_drawn"])
-    return rows.withColumn("share_reached", F.col("tokens_drawn") / F.sum("tokens_drawn").over(Window.partitionBy()))
+    reached = rows.withColumn("share_reached", F.col("tokens_drawn") / F.sum("tokens_drawn").over(Window.partitionBy()))
+    return reached.withColumn("deviation", F.col("share_reached") - F.col("target_share"))
