@@ -2,13 +2,15 @@
 
 Texts become runs of letters or digits in lower case, joined by single spaces. A window of w characters with
 at most e edits shares at least w + 1 - q - q e q-grams with its origin, all on diagonals (document position
-less item position) within e of each other. Shared q-grams are counted in overlapping diagonal bands; bands
-that reach the bound are kept and verified by a banded alignment, which also gives the longest run of
-equal consecutive words.
+less item position) within e of each other. The lemma holds for any fixed subset of the item's q-grams: those at every
+``STEP``-th position are indexed, of which a window holds at least (w + 1 - q) / STEP and an edit destroys at most q / STEP.
+Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are kept and verified by a
+banded alignment, which also gives the longest run of equal consecutive words.
 
 The bound is set per item from its shortest run of ``least_words`` words, so no such run is missed. Items go
 in blocks of bounded size, each sent to all tasks against all documents; documents are never shuffled,
-so copies and hot sources do no harm.
+so copies and hot sources do no harm. Shared q-grams are listed in slices of at most about ``MAX_HITS``; a document with
+more is read in stretches that overlap by more than a run of ``least_words`` words.
 
 Defined results: null and blank texts and passages hold nothing; a passage of fewer than ``least_words`` words
 cannot leak; repeated document rows are each reported once by id; repeated items count by id; empty tables
@@ -24,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, EDITS = 8, 2
+Q, EDITS, STEP = 8, 2, 4
+MAX_HITS = 3_000_000  # shared q-grams listed at once
 BLOCK_CHARS = 4_000_000  # characters of items per block: bounds the index a task holds
 BATCH_CHARS = 2_000_000  # characters of documents looked up at once
 _WORD = re.compile(r"[^\W_]+")
@@ -56,26 +59,30 @@ class ItemIndex:
     """q-grams of a block of items, with where they occur."""
 
     def __init__(self, items: list[tuple[int, str]], least_words: int, edits: int = EDITS):
-        self.ids, self.texts, self.words, bounds, widths, grams, owner, at = [], [], [], [], [], [], [], []
+        self.ids, self.texts, self.words, bounds, scores, widths, grams, owner, at = [], [], [], [], [], [], [], [], []
+        self.reach = Q
         for item, passage in items:
             w = words(passage)
             if len(w) < least_words:
                 continue
             text = " ".join(w).encode()
-            g = qgrams(text)
+            g = qgrams(text)[::STEP]
             sizes = [len(" ".join(w[i : i + least_words]).encode()) for i in range(len(w) - least_words + 1)]
             width = min(sizes)
-            e = max(0, min(edits, (width - Q) // Q))
+            self.reach = max(self.reach, max(sizes) + Q)
+            sampled = (width + 1 - Q) // STEP
+            e = max(0, min(edits, (sampled - 1) // (Q // STEP)))
             k = len(self.ids)
             self.ids.append(item)
             self.texts.append(text)
             self.words.append(w)
             widths.append(width)
-            bounds.append(max(1, width + 1 - Q - Q * e))
+            bounds.append(max(1, sampled - e * (Q // STEP)))
+            scores.append(max(1, width + 1 - Q - Q * e))
             grams.append(g)
             owner.append(np.full(len(g), k, dtype=np.int32))
-            at.append(np.arange(len(g), dtype=np.int32))
-        self.bound, self.width = np.array(bounds, dtype=np.int64), np.array(widths, dtype=np.int64)
+            at.append(np.arange(len(g), dtype=np.int32) * STEP)
+        self.bound, self.score, self.width = (np.array(x, dtype=np.int64) for x in (bounds, scores, widths))
         g = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint64)
         order = np.argsort(g, kind="stable")
         self.owner, self.at = (np.concatenate(x)[order] if x else np.empty(0, dtype=np.int32) for x in (owner, at))
@@ -87,13 +94,16 @@ class ItemIndex:
     def _slot(g: np.ndarray) -> np.ndarray:
         return ((g * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, position in the item) of every q-gram shared."""
+    def located(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, place among the keys) of every q-gram that some item has."""
         at = np.flatnonzero(self.seen[self._slot(g)])
         k = np.searchsorted(self.keys, g[at])
         k[k == len(self.keys)] = 0
         ok = self.keys[k] == g[at] if len(self.keys) else np.zeros(len(at), dtype=bool)
-        at, k = at[ok], k[ok]
+        return at[ok], k[ok]
+
+    def hits(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, position in the item) of every shared q-gram at some places."""
         n = self.count[k]
         if not len(n):
             return at, at, at
@@ -102,32 +112,53 @@ class ItemIndex:
         return np.repeat(at, n), self.owner[src], self.at[src]
 
 
-def bands(pos: np.ndarray, item: np.ndarray, ipos: np.ndarray, index: ItemIndex, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(item, lowest diagonal, first position, end position) of each band that reaches its item's bound within a window.
+def bands(pos: np.ndarray, item: np.ndarray, ipos: np.ndarray, doc: np.ndarray, index: ItemIndex, edits: int = EDITS) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, lowest diagonal, first position, end position) of each band that reaches its item's bound within a window.
 
     Bands are twice as wide as the edits need and overlap by half, so every region lies whole in one.
     """
     half = edits + 1
     diag = pos - ipos
     base = int(diag.min())
+    pair = doc.astype(np.int64) * len(index.ids) + item
     out = []
     for shift in (0, half):
         band = (diag - base + shift) // (2 * half)
-        key = item.astype(np.int64) * (int(band.max()) + 1) + band
-        order = np.lexsort((ipos, key))
+        key = pair * (int(band.max()) + 1) + band
+        order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         starts = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
         counts = np.diff(np.r_[starts, len(sorted_key)])
         owner = item[order[starts]]
         for s, n, k in zip(*(x[counts >= index.bound[owner]].tolist() for x in (starts, counts, owner)), strict=True):
             rows = order[s : s + n]
-            at = ipos[rows]
+            at = np.sort(ipos[rows])
             if (np.searchsorted(at, at + index.width[k] - Q + 1) - np.arange(n)).max() >= index.bound[k]:
                 where = pos[rows]
-                out.append((k, int(band[rows[0]]) * 2 * half - shift + base, int(where.min()), int(where.max()) + Q))
+                out.append((int(doc[rows[0]]), k, int(band[rows[0]]) * 2 * half - shift + base, int(where.min()), int(where.max()) + Q))
     return out
 
 
+def stretches(at: np.ndarray, hits: np.ndarray, ends: np.ndarray, most: int, reach: int):
+    """(from, to) among sorted positions, so that each has about ``most`` hits at most: whole documents, or stretches of one that overlap by ``reach``."""
+    total = np.r_[0, np.cumsum(hits)]
+    a = 0
+    while a < len(at):
+        b = int(np.searchsorted(total, total[a] + most, side="right")) - 1
+        if b < len(at):
+            last = ends[np.searchsorted(ends, at[max(b, a)], side="right") - 1] if len(ends) else 0  # end of the last whole document
+            whole = int(np.searchsorted(at, last))
+            if whole > a:
+                b = whole
+            else:  # one document alone has more: its next stretch begins before this one's end
+                b = max(b, a + 1, int(np.searchsorted(at, at[a] + 2 * reach)))
+                yield a, b
+                a = max(int(np.searchsorted(at, at[b] - reach)), a + 1) if b < len(at) else b
+                continue
+        yield a, b
+        a = b
+
+
 def banded_alignments(text: np.ndarray, begin: np.ndarray, end: np.ndarray, items: list[bytes], low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each item with its document, text[begin:end], on diagonals low .. low + width - 1.
 
@@ -188,19 +219,20 @@ def search(docs: list[tuple[object, bytes]], index: ItemIndex, edits: int = EDIT
     joined = b"\n".join(t for _, t in docs)
     text = np.frombuffer(joined, dtype=np.uint8)
     starts = np.cumsum([0] + [len(t) + 1 for _, t in docs])
-    pos, item, ipos = index.hits(qgrams(joined))
-    if not len(pos):
-        return []
-    cuts = np.searchsorted(pos, starts)
-    found = [(d, *x) for d in np.flatnonzero(np.diff(cuts)).tolist() for x in bands(*(a[cuts[d] : cuts[d + 1]] for a in (pos, item, ipos)), index, edits)]
+    at, place = index.located(qgrams(joined))
+    found = []
+    for x, y in stretches(at, index.count[place], starts[1:], MAX_HITS, index.reach):
+        pos, item, ipos = index.hits(at[x:y], place[x:y])
+        found += bands(pos, item, ipos, np.searchsorted(starts, pos, side="right") - 1, index, edits)
     if not found:
         return []
     doc, k, low, a, b = (np.array(x) for x in zip(*found, strict=True))
     score, end, wrong = banded_alignments(text, starts[doc], starts[doc + 1] - 1, [index.texts[i] for i in k.tolist()], low - edits, 4 * edits + 3)
     out = []
-    for i in np.flatnonzero(score >= index.bound[k]).tolist():
+    for i in np.flatnonzero(score >= index.score[k]).tolist():
         d, begin, stop = int(doc[i]), int(starts[doc[i]]), int(starts[doc[i] + 1]) - 1
-        x, y = joined.rfind(b" ", begin, max(int(a[i]), begin)) + 1 or begin, joined.find(b" ", int(b[i]) - 1, stop)
+        # q-grams between the indexed ones may reach STEP further
+        x, y = joined.rfind(b" ", begin, max(int(a[i]) - STEP, begin)) + 1 or begin, joined.find(b" ", min(int(b[i]) + STEP, stop) - 1, stop)
         run = longest_run(joined[max(x, begin) : y if y >= 0 else stop].decode(errors="ignore").split(" "), index.words[int(k[i])])
         out.append((docs[d][0], index.ids[int(k[i])], run, int(score[i]), int(wrong[i]), int(end[i]) - begin))
     return out

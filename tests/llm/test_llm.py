@@ -150,6 +150,25 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(d, it.where("false"), "doc_id", "text", "item_id", "passage").count() == 0
 
 
+def test_leaks_in_slices(monkeypatch):
+    """Whatever is listed at once, within documents and across them, the same runs are found."""
+    r = random.Random(6)
+    vocab = ["net", "sales", "rose", "covenant", "lenders", "registry", "shows", "2024"]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(13, 30)))) for i in range(30)]
+    docs = []
+    for i in range(12):
+        w = [r.choice(vocab) for _ in range(r.choice([5, 60, 900]))]
+        for _ in range(len(w) // 60):
+            a = r.randrange(len(w))
+            w[a:a] = items[r.randrange(30)][1].split()
+        docs.append((i, " ".join(w)))
+    want = {(i, j) for i, t in docs for j, p in items if brute_runs(t, p)}
+    index = leakage.ItemIndex(items, 13)
+    for most in (leakage.MAX_HITS, 5000, 300, 20):
+        monkeypatch.setattr(leakage, "MAX_HITS", most)
+        assert {(d, k) for d, k, run, *_ in leakage.search([(i, t.encode()) for i, t in docs], index) if run >= 13} == want and len(want) > 10
+
+
 def test_qgrams_are_the_bytes():
     b = bytes(range(1, 30))
     assert [int(x).to_bytes(8, "little") for x in leakage.qgrams(b)] == [b[i : i + 8] for i in range(len(b) - 7)]
