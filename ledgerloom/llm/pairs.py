@@ -187,20 +187,38 @@ def _question(q: str) -> tuple[str, frozenset, str]:
     return v
 
 
-def pair_features(examples: list[Example]) -> np.ndarray:
-    """One row of pair features per example."""
-    out = np.zeros((len(examples), DENSE), dtype=np.float32)
-    for i, e in enumerate(examples):
-        r = bare(e.response)
-        q, asked, _ = _question(e.question or "")
-        mine = set(_PLAIN.findall(r.lower()))
+class Facts(NamedTuple):
+    """Graded features of pairs, a row each, and what the exact checks ask: whether the response is empty or a copy, and by how many words it is foreign."""
+
+    features: np.ndarray
+    empty: np.ndarray
+    copy: np.ndarray
+    strange: np.ndarray
+
+
+def pair_facts(questions: list[str], responses: list[str], odds: list[float] | None = None) -> Facts:
+    """Features and facts of pairs, each text read once."""
+    n = len(responses)
+    out, empty, copy, strange = np.zeros((n, DENSE), dtype=np.float32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n)
+    for i, (question, response) in enumerate(zip(questions, responses, strict=True)):
+        r = bare(response) if response and "<|" in response else response or ""
+        q, asked, _ = _question(question or "")
         same = T._same(r)
-        rest = len(same.replace(q, "")) if q and q in same else len(same)
+        mine = set(_PLAIN.findall(r.lower()))
+        rest = same.replace(q, "") if q and q in same else same
+        empty[i], copy[i], strange[i] = not same, len(rest) < len(same) and rest in T._LABELS, foreign(question, r) if same else 0.0
         out[i] = (
-            1.0, np.log1p(len(same)) / 5, 1 - rest / len(same) if same else 0.0, np.log1p(rest) / 5, len(asked & mine) / max(len(mine), 1) if mine else 0.0, np.clip(e.odds, -10, 4) / 2,
-            min(foreign(e.question, r), 8) / 4, len(mine) / 20 if len(mine) < 60 else 3.0, not mine, any(c.isdigit() for c in same),
+            1.0, np.log1p(len(same)) / 5, 1 - len(rest) / len(same) if same else 0.0, np.log1p(len(rest)) / 5, len(asked & mine) / max(len(mine), 1) if mine else 0.0, 0.0,
+            min(strange[i], 8) / 4, len(mine) / 20 if len(mine) < 60 else 3.0, not mine, any(map(str.isdigit, same)),
         )
-    return out
+    if odds is not None and n:
+        out[:, ODDS] = np.clip(odds, -10, 4) / 2
+    return Facts(out, empty, copy, strange)
+
+
+def pair_features(examples: list[Example]) -> np.ndarray:
+    """One row of pair features per example."""
+    return pair_facts([e.question for e in examples], [e.response for e in examples], [e.odds for e in examples]).features
 
 
 def _scores(slots: np.ndarray, owner: np.ndarray, dense: np.ndarray, grams: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -463,18 +481,21 @@ def defects(rows: DataFrame, row_id: str, question: str, fields: list[str], expe
     def judge(frames):
         m = sent.value
         for f in frames:
+            asked = [q or "" for q in f["_q"]]
             for column, name in enumerate(fields):
-                values, questions = [v or "" for v in f[name]], [q or "" for q in f["_q"]]
-                examples = [Example(q, v, 0.0) for q, v in zip(questions, values, strict=True)]
-                ends = [T.end_of(v, q) for v, q in zip(values, questions, strict=True)]
+                places: dict[tuple[str, str], int] = {}  # equal pairs of a batch are read once
+                at = np.array([places.setdefault((q, v or ""), len(places)) for q, v in zip(asked, f[name], strict=True)])
+                questions, values = [q for q, _ in places], [v for _, v in places]
+                facts = pair_facts(questions, values)
+                slots, owner = gram_slots(values)
+                scores = _scores(slots, owner, facts.features, m.grams, m.dense)
                 none = T.End("", "", False, False, False)
-                e = [x or none for x in ends]
-                scores = label_scores(examples, m)
-                yield pd.DataFrame({
-                    "_id": f["_id"], "_e": f["_e"], "field": name, "language": T.languages(values), "_tail_id": [T.tail_id(x.tail, column) for x in e], "_token_id": [T.token_id(x.token) for x in e], "_case": [x.case for x in e], "_forced": [x.forced for x in e],
-                    "_marked": [x.marked for x in e], "_is_empty": [is_empty(v) for v in values], "_is_copy": [T.is_copy(bare(v), q) for v, q in zip(values, questions, strict=True)], "_strange": [foreign(q, v) for v, q in zip(values, questions, strict=True)],
-                    **{n: scores[:, k] for k, n in enumerate(names)},
-                })
+                e = [T.end_of(v, q, bool(c)) or none for v, q, c in zip(values, questions, facts.copy, strict=True)]
+                own = pd.DataFrame({
+                    "field": name, "language": T.languages(values), "_tail_id": [T.tail_id(x.tail, column) for x in e], "_token_id": [T.token_id(x.token) for x in e], "_case": [x.case for x in e], "_forced": [x.forced for x in e],
+                    "_marked": [x.marked for x in e], "_is_empty": facts.empty, "_is_copy": facts.copy, "_strange": facts.strange, **{n: scores[:, k] for k, n in enumerate(names)},
+                }).iloc[at]
+                yield pd.concat([f[["_id", "_e"]].reset_index(drop=True), own.reset_index(drop=True)], axis=1)
 
     schema = f"_id {kind}, _e boolean, field string, language string, _tail_id long, _token_id long, _case boolean, _forced boolean, _marked boolean, _is_empty boolean, _is_copy boolean, _strange double, " + ", ".join(f"{n} double" for n in names)
     judged = T.with_odds(src.mapInPandas(judge, schema), scores)

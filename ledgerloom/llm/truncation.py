@@ -215,12 +215,12 @@ def _last_token(text: str) -> str:
     return bits[-2] if len(bits) > 1 and not bits[-1] else ""
 
 
-def end_of(value: str | None, question: str | None) -> End | None:
-    """The end of a value; None for one that has no text."""
+def end_of(value: str | None, question: str | None, copy: bool | None = None) -> End | None:
+    """The end of a value; None for one that has no text. Whether it is a copy of its question may be known."""
     t = proper(value) if value else ""
     if not t:
         return None
-    case = bool(_ALNUM.search(_SPECIAL.sub("", t) if "<|" in t else t)) and not is_copy(t, question)
+    case = bool(_ALNUM.search(_SPECIAL.sub("", t) if "<|" in t else t)) and not (is_copy(t, question) if copy is None else copy)
     forced = t[-1] in _GOES_ON or t[-40:].split()[-1].lower().lstrip("([\"'“") in _OPEN_ENDS
     return End(tail_of(t), _digits(_last_token(t)), case, forced, bool(_CUT_MARK.match(value, len(t))))
 
@@ -336,16 +336,17 @@ def ended(rows: DataFrame, row_id: str, question: str, text_cols: list[str], kee
     schema = ", ".join(f"{c} {k}" for c, k in zip(("_id", *keep), kinds, strict=True)) + ", field string, _column int, language string, _d1 long, _d2 long, _tail string, _token string, _tail_id long, _token_id long, _case boolean, _forced boolean, _marked boolean"
 
     def read(frames):
+        none = End("", "", False, False, False)
         for f in frames:
             for column, name in enumerate(text_cols):
-                values = list(f[f"_v{column}"])
-                ends = [end_of(v, q) for v, q in zip(values, f["_q"], strict=True)]
-                none = End("", "", False, False, False)
-                e = pd.DataFrame([x or none for x in ends], columns=["_tail", "_token", "_case", "_forced", "_marked"], index=f.index)
-                yield pd.DataFrame({
-                    "_id": f["_id"], **{k: f[k] for k in keep}, "field": name, "_column": np.int32(column), "language": languages(values), "_d1": f[f"_a{column}"], "_d2": f[f"_b{column}"], "_tail": e["_tail"].where(e["_tail"] != "", None), "_token": e["_token"],
-                    "_tail_id": [tail_id(t, column) for t in e["_tail"]], "_token_id": [token_id(t) for t in e["_token"]], "_case": e["_case"], "_forced": e["_forced"], "_marked": e["_marked"],
-                })
+                places: dict[tuple, int] = {}  # equal values of a batch are read once
+                at = np.array([places.setdefault(x, len(places)) for x in zip(f[f"_v{column}"], f["_q"], strict=True)])
+                e = [end_of(v, q) or none for v, q in places]
+                own = pd.DataFrame({
+                    "field": name, "_column": np.int32(column), "language": languages([v for v, _ in places]), "_tail": [x.tail or None for x in e], "_token": [x.token for x in e], "_tail_id": [tail_id(x.tail, column) for x in e],
+                    "_token_id": [token_id(x.token) for x in e], "_case": [x.case for x in e], "_forced": [x.forced for x in e], "_marked": [x.marked for x in e],
+                }).iloc[at].reset_index(drop=True)
+                yield pd.concat([f[["_id", *keep]].reset_index(drop=True), own.assign(_d1=f[f"_a{column}"].to_numpy(), _d2=f[f"_b{column}"].to_numpy())], axis=1)
 
     each = [x for k, c in enumerate(text_cols) for x in (F.col(c).alias(f"_v{k}"), F.xxhash64(question, F.lit(k), c).alias(f"_a{k}"), F.xxhash64(F.lit("salt"), c, F.lit(k), question).alias(f"_b{k}"))]
     return rows.select(F.col(row_id).alias("_id"), *keep, F.col(question).alias("_q"), *each).mapInPandas(read, schema)
