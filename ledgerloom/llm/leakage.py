@@ -226,6 +226,7 @@ def search(docs: list[tuple[object, bytes]], index: ItemIndex, edits: int = EDIT
         found += bands(pos, item, ipos, np.searchsorted(starts, pos, side="right") - 1, index, edits)
     if not found:
         return []
+    found = list({(d, k, a, b): (d, k, low, a, b) for d, k, low, a, b in reversed(found)}.values())  # most regions lie whole in two bands
     doc, k, low, a, b = (np.array(x) for x in zip(*found, strict=True))
     score, end, wrong = banded_alignments(text, starts[doc], starts[doc + 1] - 1, [index.texts[i] for i in k.tolist()], low - edits, 4 * edits + 3)
     out = []
