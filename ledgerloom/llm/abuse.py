@@ -39,8 +39,8 @@ from ledgerloom.session import checkpointed
 WINDOW, STRIDE = 56, 14
 LANDMARKS, DECAY, ROUNDS, FOLDS = 320, 0.7, 6, 5
 CLEAN, HARD, CANDIDATES = 5000, 1000, 5  # clean windows in the machine; windows kept of a labelled-abusive document
-MAX_POSITIVE, MAX_NEGATIVE, MAX_OTHERS, MAX_CHARS = 2000, 4000, 8000, 40_000_000
-SELF = 2  # rounds in which documents without a label teach
+MAX_POSITIVE, MAX_NEGATIVE, MAX_OTHERS, MAX_CHARS = 2000, 4000, 5000, 40_000_000
+SELF = 1  # rounds in which documents without a label teach
 RIDGE = 3.0
 BINS, AROUND = 20, 0.25  # bins of scores a unit, and how far from the labelled threshold the emptiest is looked for
 NEVER = -0.5  # held-out score below which hardly any abusive document falls
