@@ -50,6 +50,13 @@ def looks_like_html(c: Column) -> Column:
     return head.contains("<html") | head.contains("<table") | head.contains("<body")
 
 
+def tags_out(c: Column) -> Column:
+    """Text of a page by patterns: scripts and styles left out, each tag a line break, white space put right; entities stay."""
+    c = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>", "\n")
+    c = F.regexp_replace(c, r"<!--.*?-->|<[/!?]?[A-Za-z][^<>]*>", "\n")
+    return normalize_whitespace(F.translate(c, "\u00a0", " "))
+
+
 def clean_extracted(c: Column) -> Column:
     """Text from a page or file: no-break spaces, hyphens at line ends and white space put right."""
     c = F.translate(c, " ", " ")

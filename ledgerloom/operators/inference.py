@@ -1,17 +1,19 @@
 """Prompts, fan-out over systems, and models behind one interface, run in batches.
 
 A model is anything with ``generate(prompt) -> str`` and ``loss(prompt, target) -> float``, made once a task by
-a factory. Two are here: one that copies the best sentence of its context, and a small decoder-only
-transformer in numpy, whose weights come from a file or, for tests, from a seed.
+a factory. Here is a decoder-only transformer in numpy, greedy or sampling among the likeliest tokens, whose weights
+come from a checkpoint file, from which its shape is read, or, for tests, from a seed.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +56,35 @@ class LanguageModel(Protocol):
     def loss(self, prompt: str, target: str) -> float: ...
 
 
-class Extractive:
-    """Answers with the context's sentence that shares most words with the question; has no losses."""
+# Characters of the small model that shows how models are run; any other is a blank.
+CHARACTERS = "\x00 abcdefghijklmnopqrstuvwxyz0123456789.,$%?:-\n"
 
-    def generate(self, prompt: str) -> str:
-        head, _, question = prompt.rpartition("Question: ")
-        asked = set(question.lower().replace("?", " ").split())
-        best = max((s.strip() for s in head.replace("\n", " ").split(". ") if s.strip()), key=lambda s: len(asked & set(s.lower().split())), default="")
-        return best or "not enough information."
 
-    def loss(self, prompt: str, target: str) -> float:
-        return math.nan
+def demo_model() -> Transformer:
+    """A small decoder over characters with drawn weights: it says nothing of sense, but runs as any does, and always alike."""
+    place = {c: i for i, c in enumerate(CHARACTERS)}
+    return Transformer.random(len(CHARACTERS), 16, 2, 1, 48, seed=7, encode=lambda t: [place.get(c, 1) for c in t.lower()], decode=lambda ids: "".join(CHARACTERS[i] for i in ids), stop=0, most_new=12, temperature=0.8, top_k=5)
+
+
+def extraction_only(rows: DataFrame, prompt: str, candidate: str, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """Rows with the candidate as ``generated``, its and the prompt's tokens, and no latency: answers that no model makes."""
+    count = (lambda t: len(encode(t))) if encode else (lambda t: len(t.split()))
+
+    @F.pandas_udf("int")
+    def tokens(t: pd.Series) -> pd.Series:
+        return t.fillna("").map(count).astype("int32")
+
+    said = F.coalesce(candidate, F.lit(""))
+    return rows.withColumns({"generated": said, "prompt_tokens": tokens(prompt), "completion_tokens": tokens(said), "latency_seconds": F.lit(0.0)})
 
 
 class Transformer:
     """Pre-norm decoder with learned positions, over token numbers, greedy; attention to the past only."""
 
-    def __init__(self, weights: dict[str, np.ndarray], heads: int, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], stop: int | None = None, most_new: int = 80):
+    def __init__(self, weights: dict[str, np.ndarray], heads: int, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], stop: int | None = None, most_new: int = 80, temperature: float = 0.0, top_k: int = 0, seed: int = 0):
+        """Greedy at temperature 0; else tokens are drawn, among the ``top_k`` likeliest where that is set, alike for the same prompt and seed."""
         self.w, self.heads, self.encode, self.decode, self.stop, self.most_new = weights, heads, encode, decode, stop, most_new
+        self.temperature, self.top_k, self.seed = temperature, top_k, seed
         self.room = len(weights["positions"])
         self.blocks = sum(k.endswith(".qkv") for k in weights)
 
@@ -85,6 +98,29 @@ class Transformer:
             w |= {f"{b}.{n}": f(width) for n, f in (("norm1", np.ones), ("norm1_bias", np.zeros), ("norm2", np.ones), ("norm2_bias", np.zeros))}
         return cls(w, heads, **kw)
 
+    @classmethod
+    def load(cls, path: str, heads: int | None = None, **kw) -> Transformer:
+        """A model from a file of named arrays; widths and blocks are read off their shapes, heads from the file or, by default, 64 dimensions each."""
+        with np.load(path) as f:
+            w = {k: np.asarray(f[k], dtype=np.float64) for k in f.files}
+        told = shape_of(w)
+        heads = heads or int(w.pop("heads", max(1, told["width"] // 64)))
+        if told["width"] % heads:
+            raise ValueError(f"{heads} heads do not divide a width of {told['width']}")
+        return cls(w, heads, **kw)
+
+    def save(self, path: str) -> None:
+        np.savez(path, heads=self.heads, **self.w)
+
+    def _pick(self, z: np.ndarray, rng: np.random.Generator) -> int:
+        if self.temperature <= 0:
+            return int(z.argmax())
+        z = z / self.temperature
+        if 0 < self.top_k < len(z):
+            z = np.where(z >= np.sort(z)[-self.top_k], z, -np.inf)
+        p = np.exp(z - z.max())
+        return int(rng.choice(len(z), p=p / p.sum()))
+
     def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
         centred = x - x.mean(-1, keepdims=True)
         return centred / np.sqrt((centred**2).mean(-1, keepdims=True) + 1e-5) * self.w[name] + self.w[name + "_bias"]
@@ -105,9 +141,10 @@ class Transformer:
 
     def generate(self, prompt: str) -> str:
         try:
+            rng = np.random.default_rng([self.seed, zlib.crc32(prompt.encode())])
             ids, new = self.encode(prompt)[-self.room :] or [self.stop or 0], []
             while len(new) < self.most_new:
-                new.append(int(self.logits((ids + new)[-self.room :])[-1].argmax()))
+                new.append(self._pick(self.logits((ids + new)[-self.room :])[-1], rng))
                 if new[-1] == self.stop:
                     break
             return self.decode(new)
@@ -128,6 +165,15 @@ class Transformer:
         return float((np.log(np.exp(z).sum(-1)) - z[np.arange(len(at)), np.array(ids)[at]]).mean())
 
 
+def shape_of(w: dict[str, np.ndarray]) -> dict[str, int]:
+    """Vocabulary, width, blocks and room of a checkpoint's arrays; an error names what is missing."""
+    lacking = [k for k in ("words", "positions", "out", "out_bias") if k not in w]
+    blocks = sorted(int(k.split(".")[0]) for k in w if k.endswith(".qkv"))
+    if lacking or blocks != list(range(len(blocks))) or not blocks:
+        raise ValueError(f"not a checkpoint: {', '.join(lacking) or 'blocks are not numbered from 0'}")
+    return {"vocabulary": w["words"].shape[0], "width": w["words"].shape[1], "blocks": len(blocks), "room": w["positions"].shape[0]}
+
+
 def run_model(rows: DataFrame, factory: Callable[[], LanguageModel], prompt: str, target: str | None = None) -> DataFrame:
     """Rows with ``generated``, and with ``loss`` and ``perplexity`` of a target column; the model is made once a task."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

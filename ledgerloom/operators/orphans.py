@@ -77,29 +77,37 @@ def orphan_references(tables: dict[str, DataFrame], fks: list[ForeignKey], lifet
     return out
 
 
-def orphan_cascade(tables: dict[str, DataFrame], fks: list[ForeignKey], lifetimes: dict[str, Lifetime] | None = None) -> DataFrame:
-    """All orphaned records: (table, key, depth, kind), kind ``direct`` at depth 0, else ``inherited``.
+def orphan_links(tables: dict[str, DataFrame], fks: list[ForeignKey], lifetimes: dict[str, Lifetime] | None = None) -> DataFrame:
+    """All orphaned references: (child_table, child_key, parent_table, parent_key, at, reason, depth), ``direct`` ones at depth 0, with why, and below them those ``inherited``.
 
-    A fixpoint: children of the records found last are added by a semi-join down each foreign key, less those
-    known, until none is new. Each round's rows are checkpointed, so the plan stays as long as one round.
+    A fixpoint: references to the records found last are added by a semi-join down each foreign key, less those of
+    records known, until none is new. Each round's rows are checkpointed, so the plan stays as long as one round.
     """
-    direct = checkpointed(orphan_references(tables, fks, lifetimes).select(F.col("child_table").alias("table"), F.col("child_key").alias("key")).distinct())
-    known = direct.select("table", "key", F.lit(0).alias("depth"))
-    fresh, depth = direct, 0
+    out = checkpointed(orphan_references(tables, fks, lifetimes).withColumn("depth", F.lit(0)))
+    record = [F.col("child_table").alias("table"), F.col("child_key").alias("key")]
+    known = fresh = out.select(*record).distinct()
+    depth = 0
     while True:
         depth += 1
         nexts = None
         for fk in fks:
+            if fk.parent not in {x.child for x in fks}:
+                continue  # only records that can be orphans themselves hand it on
             parents = fresh.where(F.col("table") == fk.parent).select(F.col("key").alias("parent_key"))
-            own = tables[fk.parent].schema
-            if fk.parent_key not in own.fieldNames():
-                continue
-            kids = references(tables, fk).join(parents, "parent_key", "left_semi").select(F.lit(fk.child).alias("table"), F.col("child_key").alias("key"))
+            kids = references(tables, fk).join(parents, "parent_key", "left_semi").select(F.lit(fk.child).alias("child_table"), "child_key", F.lit(fk.parent).alias("parent_table"), "parent_key", "at")
             nexts = kids if nexts is None else nexts.unionByName(kids)
         if nexts is None:
             break
-        fresh = checkpointed(nexts.distinct().join(known.select("table", "key"), ["table", "key"], "left_anti"))
-        if fresh.isEmpty():
+        new = nexts.join(known.select(F.col("table").alias("child_table"), F.col("key").alias("child_key")), ["child_table", "child_key"], "left_anti")
+        new = checkpointed(new.select(*out.columns[:5], F.lit("inherited").alias("reason"), F.lit(depth).alias("depth")))
+        fresh = new.select(*record).distinct()
+        if new.isEmpty():
             break
-        known = known.unionByName(fresh.select("table", "key", F.lit(depth).alias("depth")))
-    return known.withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
+        out, known = out.unionByName(new), known.unionByName(fresh)
+    return out
+
+
+def orphan_cascade(tables: dict[str, DataFrame], fks: list[ForeignKey], lifetimes: dict[str, Lifetime] | None = None) -> DataFrame:
+    """All orphaned records: (table, key, depth, kind), kind ``direct`` at depth 0, else ``inherited``."""
+    links = orphan_links(tables, fks, lifetimes).groupBy(F.col("child_table").alias("table"), F.col("child_key").alias("key")).agg(F.min("depth").alias("depth"))
+    return links.withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))

@@ -5,9 +5,39 @@ from __future__ import annotations
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 MOST_ROWS, MOST_COLUMNS = 12, 12
+# What the standard report compares systems by.
+COMPARED = ("exact_match", "token_f1", "numeric_accuracy", "refusal_correct", "hallucinated_on_negative", "answer_coverage_at_3", "source_accuracy_at_3", "gold_answer_perplexity", "total_latency_seconds")
+
+
+def comparison(summary: DataFrame) -> DataFrame:
+    """The compared columns of each system's means, and how much slower it is than the baseline."""
+    slow = F.max(F.when(F.col("system") == "baseline_gpt", F.col("total_latency_seconds"))).over(Window.partitionBy())  # a row a system
+    return summary.select("system", *COMPARED, F.round(F.col("total_latency_seconds") - slow, 6).alias("latency_delta"))
+
+
+def ablation(chunks: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row a configuration: its chunks, how many can be retrieved and how long they are, coverage, and questions lost to wrong sections or split answers."""
+    told = chunks.groupBy("chunk_config").agg(F.count("*").alias("chunks"), F.count(F.when(F.col("retrievable").isNull() | F.col("retrievable"), 1)).alias("retrievable_chunks"), F.round(F.avg("token_count"), 6).alias("mean_tokens"))
+    cov = lambda k: F.round(F.avg(F.col(f"coverage_at_{k}").cast("int")), 6).alias(f"coverage_at_{k}")
+    lost = lambda n, a: F.count(F.when(F.col("noise_reason") == n, 1)).alias(a)
+    found = diagnostics.groupBy("chunk_config").agg(F.count("*").alias("questions"), cov(1), cov(3), lost("wrong_section", "wrong_section"), lost("answer_split_across_chunks", "split"))
+    return told.join(found, "chunk_config")
+
+
+def oracle_report(sanity: DataFrame, path: str | None = None) -> str:
+    """The report on the system with the right context: passed, warned or failed, why, and its figures."""
+    r = sanity.first()
+    verdict = "It passes." if r.passed and not r.reasons else "It passes, slowly." if r.passed else "It fails: " + r.reasons.replace(";", ", ") + "."
+    return report("System with the right context", {"Verdict": verdict, "Figures": sanity.drop("passed", "warning_only", "reasons")}, path)
+
+
+def ablation_report(table: DataFrame, best: DataFrame, path: str | None = None) -> str:
+    """The report on configurations: all of them, and the best."""
+    return report("Configurations", {"Retrieval": table.orderBy("chunk_config"), "Best": best}, path)
 
 
 def cell(v) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators.sorted_runs import numbered
 
 # Words too frequent to index; a caller may pass others.
 STOP_WORDS = tuple(
@@ -15,8 +16,11 @@ STOP_WORDS = tuple(
     "into is it its just me more most my no nor not of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when "
     "where which while who whom why will with would you your".split()
 )
+# What a result tells of its chunk.
+METADATA = ("chunk_config", "source_file", "ticker", "company", "year", "section_id", "section_name", "source_type", "table_id", "table_title", "row_label", "chunk_index", "token_count", "retrievable", "non_retrievable_reason")
 # Words of a row label that select nothing.
 LABEL_STOPS = ("what", "were", "was", "fiscal", "year", "apple", "microsoft", "company")
+# How a row's label is recognised in a question.
 ROW_LABEL = r"(?i)([A-Za-z][A-Za-z &'/-]{2,80}?\s(?:net sales|revenue|gross margin|income|expenses|cash flow|sales))"
 
 
@@ -38,6 +42,17 @@ def idf(counts: DataFrame, n: Column | int) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
+def within(terms: DataFrame, group: str) -> DataFrame:
+    """Terms made those of their group: an index of several corpora in one, each with its own document frequencies."""
+    return terms.withColumn("term", F.concat_ws("\x01", group, "term"))
+
+
+def idf_within(counts: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """(term, df, idf) of terms made with :func:`within`; sizes has each group's number of rows, n."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(group, F.substring_index("term", "\x01", 1))
+    return df.join(F.broadcast(sizes), group).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))  # a row a configuration
+
+
 def unit_weights(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, term, w): tf-idf of terms that are indexed, each key's vector of length 1."""
     w = counts.join(weights.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
@@ -45,25 +60,54 @@ def unit_weights(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def candidates(queries: DataFrame, docs: DataFrame, filters: list[str]) -> list[tuple[DataFrame, list[str]]]:
-    """Queries in groups by which of their filters are set, each with its join keys: an unset filter matches everything, and no group needs more than an equi-join."""
+def candidates(queries: DataFrame, docs: DataFrame, filters: list[str], always: str | None = None) -> list[tuple[DataFrame, list[str]]]:
+    """Queries in groups by which of their filters are set, each with its join keys: an unset filter matches everything, and no group needs more than an equi-join.
+
+    A filter that is ``always`` set makes no groups.
+    """
     out = []
     for mask in range(1 << len(filters)):
         on = [f for i, f in enumerate(filters) if mask >> i & 1]
+        if always in filters and always not in on:
+            continue
         cond = reduce(lambda a, b: a & b, [F.coalesce(F.col(f), F.lit("")) != "" if f in on else F.coalesce(F.col(f), F.lit("")) == "" for f in filters], F.lit(True))
         out.append((queries.where(cond), on))
     return out
 
 
-def scores(query_weights: DataFrame, doc_weights: DataFrame, query_key: str, doc_key: str, queries: DataFrame, docs: DataFrame, filters: list[str]) -> DataFrame:
+def postings(counts: DataFrame, weights: DataFrame, docs: DataFrame, key: str, filters: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, w, _filter...): the index as a table, each row's vector of length 1, with the columns that queries filter by.
+
+    With ``asked``, a table of terms, only their postings are kept; lengths still count every term of a row.
+    """
+    w = counts.join(weights.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    kept = w if asked is None else w.join(asked.select("term").distinct(), "term", "left_semi")
+    return kept.join(norms, key).join(docs.select(key, *(F.upper(f).alias(f"_{f}") for f in filters)), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"), *(f"_{f}" for f in filters))
+
+
+def save_index(posted: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write postings, in files by the hash of the term, so that a query's terms meet few of them."""
+    posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_index(spark, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Postings from where they were written; of some terms only, where they are named: files without them are not read."""
+    df = spark.read.parquet(path)
+    if terms is None:
+        return df.drop("bucket")
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    return df.join(F.broadcast(wanted), ["bucket", "term"]).drop("bucket")
+
+
+def scores(query_weights: DataFrame, posted: DataFrame, query_key: str, doc_key: str, queries: DataFrame, filters: list[str], always: str | None = None) -> DataFrame:
     """(query_key, doc_key, score) of pairs that share a term and pass the query's filters.
 
     Postings carry the filter columns, so term and filters are one join key and a filtered query never meets
-    the postings of other groups; a term in a third of the rows is split by them.
+    the postings of other groups; a term in a third of the rows is split by AQE as a skewed join.
     """
-    posted = doc_weights.join(docs.select(doc_key, *(F.upper(f).alias(f"_{f}") for f in filters)), doc_key)
     out = None
-    for group, on in candidates(queries, docs, filters):
+    for group, on in candidates(queries, posted, filters, always):
         asked = query_weights.join(group.select(query_key, *(F.upper(f).alias(f"_{f}") for f in on)), query_key)
         pairs = asked.withColumnRenamed("w", "qw").join(posted.select(doc_key, "term", F.col("w").alias("dw"), *(f"_{f}" for f in on)), ["term", *(f"_{f}" for f in on)])
         one = pairs.groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
@@ -71,26 +115,62 @@ def scores(query_weights: DataFrame, doc_weights: DataFrame, query_key: str, doc
     return out
 
 
+def passes(filters: dict[str, str | None]) -> Column:
+    """Whether a chunk passes filters by ticker, year (equal but for case) and company (contained but for case); unset ones pass all."""
+    out = F.lit(True)
+    for name in ("ticker", "year", "company"):
+        if want := (filters.get(name) or "").strip():
+            have = F.lower(F.coalesce(F.col(name), F.lit("")))
+            out = out & (F.contains(have, F.lit(want.lower())) if name == "company" else have == want.lower())
+    return out
+
+
+def filters_of(question: dict, open_corpus: bool = False) -> dict[str, str]:
+    """What a question filters by: its ticker and year, or nothing over the open corpus."""
+    return {} if open_corpus else {k: str(question[k]) for k in ("ticker", "year") if question.get(k)}
+
+
+def search(chunks: DataFrame, counts: DataFrame, weights: DataFrame, query: str, k: int = 3, filters: dict[str, str | None] | None = None) -> DataFrame:
+    """Results of one query typed in: rank, score, chunk_id, text and a chunk's metadata; chunks without a shared word fill up at score 0."""
+    spark = chunks.sparkSession
+    asked = unit_weights(term_counts(spark.createDataFrame([(0, query)], "q int, query string"), "q", "query"), weights, "q")
+    kept = chunks.where(passes(filters or {}))
+    found = asked.select("term", F.col("w").alias("qw")).join(postings(counts, weights, chunks, "chunk_key", [], asked), "term").groupBy("chunk_key").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    ranked = kept.join(found, "chunk_key", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)).orderBy(F.desc("score"), "chunk_key").limit(k)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_key"))).select("rank", "score", "chunk_id", "text", *(c for c in METADATA if c in chunks.columns))
+
+
+def timed(df: DataFrame) -> tuple[list, float]:
+    """(rows, seconds) of a small result: what a retrieval took, as a driver sees it."""
+    import time
+
+    began = time.perf_counter()
+    rows = df.collect()
+    return rows, time.perf_counter() - began
+
+
 def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, places: int = 6) -> DataFrame:
     """The k best rows of each query, ties by the row's key; scores are rounded first, so the order of summation doesn't show."""
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
     return scored.withColumn("score", F.round("score", places)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def filled(ranked: DataFrame, queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int, filters: list[str]) -> DataFrame:
+def filled(ranked: DataFrame, queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int, filters: list[str], always: str | None = None) -> DataFrame:
     """Ranked rows; a query with fewer than k gets further rows that pass its filters, at score 0, in key order.
 
-    Only short queries look for fillers, and only the first rows of each filter group can be any: a group
-    gives at most 2k rows, k of which may be ranked already.
+    Only short queries look for fillers, and only the first 2k rows of each filter group can be any, as k of them
+    may be ranked already: they are gathered by a partial aggregate and meet the queries of their group.
     """
     short = queries.join(ranked.groupBy(query_key).agg(F.count("*").alias("_n")), query_key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
     out = ranked.select(query_key, doc_key, "score", "rank")
-    for group, on in candidates(short, docs, filters):
+    for group, on in candidates(short, docs, filters, always):
         keys = [F.upper(f).alias(f"_{f}") for f in on]
-        first = docs.select(doc_key, *keys).withColumn("_o", F.row_number().over(Window.partitionBy(*([f"_{f}" for f in on] or [F.lit(0)])).orderBy(doc_key)) if on else F.lit(0))
-        first = first.where(F.col("_o") <= 2 * k) if on else docs.select(doc_key).orderBy(doc_key).limit(2 * k)
-        pairs = group.select(query_key, "_n", *keys).join(first, [f"_{f}" for f in on]) if on else group.select(query_key, "_n").join(F.broadcast(first))
-        extra = pairs.join(ranked.select(query_key, doc_key), [query_key, doc_key], "left_anti")
+        w = Window.partitionBy(*(f"_{f}" for f in on), "_part").orderBy(doc_key)
+        first = docs.select(doc_key, *keys, F.spark_partition_id().alias("_part")).withColumn("_o", F.row_number().over(w)).where(F.col("_o") <= 2 * k).drop("_part", "_o") if on else docs.select(doc_key).orderBy(doc_key).limit(2 * k)
+        first = first.groupBy(*(f"_{f}" for f in on)).agg(F.slice(F.array_sort(F.collect_list(doc_key)), 1, 2 * k).alias("_first"))
+        asked = group.select(query_key, "_n", *keys)
+        pairs = asked.join(first, [f"_{f}" for f in on]) if on else asked.join(F.broadcast(first))  # one row of 2k ids
+        extra = pairs.select(query_key, "_n", F.explode("_first").alias(doc_key)).join(ranked.select(query_key, doc_key), [query_key, doc_key], "left_anti")
         extra = extra.withColumn("_p", F.row_number().over(Window.partitionBy(query_key).orderBy(doc_key))).where(F.col("_p") <= k - F.col("_n"))
         out = out.unionByName(extra.select(query_key, doc_key, F.lit(0.0).alias("score"), (F.col("_n") + F.col("_p")).cast("int").alias("rank")))
     return out
@@ -128,8 +208,8 @@ def rewritten(q: DataFrame) -> Column:
     return out.otherwise(joined(base))
 
 
-def packed_context(results: DataFrame, query_key: str, budget: int = 700) -> DataFrame:
-    """(query_key, context, pieces): ranked texts with their marks under a budget of words, as a running sum.
+def packed_context(results: DataFrame, questions: DataFrame, query_key: str, budget: int = 700) -> DataFrame:
+    """(query_key, context, pieces) of every question: ranked texts with their marks under a budget of words, as a running sum; empty without results.
 
     results has rank, text, ticker, year, section_id and source_type. A piece that overflows is cut to what is
     left, and left out where that is eight words or less; so is all that follows.
@@ -141,89 +221,94 @@ def packed_context(results: DataFrame, query_key: str, budget: int = 700) -> Dat
     left = F.lit(budget) - F.col("_before")
     cut = F.array_join(F.slice(T.words(F.col("_p")), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " ")
     kept = rows.withColumn("_k", F.when(F.lit(budget == 0) | (F.col("_n") <= left), F.col("_p")).when(left > 8, cut)).where("_k is not null")
-    return kept.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct("rank", "_k"))).alias("_a")).select(query_key, F.array_join(F.transform("_a", lambda x: x["_k"]), "\n\n").alias("context"), F.size("_a").alias("pieces"))
+    got = kept.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct("rank", "_k"))).alias("_a"))
+    got = questions.select(query_key).join(got, query_key, "left")
+    return got.select(query_key, F.coalesce(F.array_join(F.transform("_a", lambda x: x["_k"]), "\n\n"), F.lit("")).alias("context"), F.when(F.col("_a").isNull(), 0).otherwise(F.size("_a")).alias("pieces"))
 
 
 def diagnostics(results: DataFrame, questions: DataFrame, query_key: str) -> DataFrame:
-    """One row per question: coverage at 1, 3 and 5, source, section and row accuracy at 3, the covering chunk and why retrieval failed."""
-    r = results.join(questions.select(query_key, "question_type", *(F.col(c).alias(f"q_{c}") for c in ("ticker", "year", "source_section", "gold_evidence_text", "answer", "answer_aliases"))), query_key)
-    texts = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", F.coalesce("text", F.lit("")).alias("t"))))), lambda x: x["t"]), "\n")
+    """One row per question, those without results too: what was found, coverage at 1, 3 and 5, source, section and row accuracy at 3, the covering chunk and why retrieval failed.
+
+    results has the key, rank, score, chunk_id, text, ticker, year, section_id and source_type.
+    """
+    asked = questions.select(query_key, "question_type", *(F.col(c).alias(f"q_{c}") for c in ("ticker", "year", "source_section", "gold_evidence_text", "answer", "answer_aliases")))
     own = T.answer_coverage(F.coalesce("text", F.lit("")), F.col("q_gold_evidence_text"), F.col("q_answer"), F.col("q_answer_aliases"))
     fits = ((F.coalesce("q_ticker", F.lit("")) == "") | (F.upper(F.coalesce("ticker", F.lit(""))) == F.upper("q_ticker"))) & ((F.coalesce("q_year", F.lit("")) == "") | (F.coalesce("year", F.lit("")) == F.col("q_year")))
-    in3 = F.col("rank") <= 3
-    keys = [query_key, "question_type", "q_ticker", "q_year", "q_source_section", "q_gold_evidence_text", "q_answer", "q_answer_aliases"]
-    g = r.withColumn("_own", own).groupBy(*keys).agg(
-        *(texts(k).alias(f"_t{k}") for k in (1, 3, 5)),
-        F.max(in3 & fits).alias("_source"), F.max(in3 & (F.coalesce("section_id", F.lit("")) == F.col("q_source_section"))).alias("_section"), F.max(F.coalesce("section_id", F.lit("")) == F.col("q_source_section")).alias("_any_section"),
-        F.max(in3 & (F.coalesce("source_type", F.lit("")) == "table_row")).alias("_row3"), F.max(F.coalesce("source_type", F.lit("")) == "table_row").alias("_row"),
-        F.max(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("forward-looking"))).alias("_boiler"), F.min_by("chunk_id", F.when(F.col("_own") & (F.col("rank") <= 5), F.col("rank"))).alias("matched_chunk_id"),
-    )
-    cov = lambda k: T.answer_coverage(F.col(f"_t{k}"), F.col("q_gold_evidence_text"), F.col("q_answer"), F.col("q_answer_aliases"))
+    r = results.join(asked, query_key).withColumns({"_own": own, "_fits": fits, "_sec": F.coalesce("section_id", F.lit("")), "_type": F.coalesce("source_type", F.lit(""))})
+    one = F.struct("rank", "chunk_id", "score", F.coalesce("text", F.lit("")).alias("text"), "_own", "_fits", "_sec", "_type")
+    g = asked.join(r.groupBy(query_key).agg(F.array_sort(F.collect_list(one)).alias("_r")), query_key, "left").withColumn("_r", F.coalesce("_r", F.array().cast(r.select(F.array(one).alias("x")).schema["x"].dataType)))
+    top = lambda k: F.slice("_r", 1, k)
+    told = lambda f: F.array_join(F.transform("_r", f), ";")
+    cov = lambda k: T.answer_coverage(F.array_join(F.transform(top(k), lambda x: x["text"]), "\n"), F.col("q_gold_evidence_text"), F.col("q_answer"), F.col("q_answer_aliases"))
     expected = (F.coalesce("q_ticker", F.lit("")) != "") | (F.coalesce("q_year", F.lit("")) != "")
-    g = g.withColumns({f"coverage_at_{k}": cov(k) for k in (1, 3, 5)}).withColumn("source_accuracy_at_3", F.when(expected, F.col("_source")))
-    g = g.withColumn("section_accuracy_at_3", F.when(F.coalesce("q_source_section", F.lit("")) != "", F.col("_section"))).withColumn("table_row_recall_at_3", F.when(F.col("question_type") == "numeric_fact", F.col("_row3")))
+    section = F.coalesce("q_source_section", F.lit(""))
+    g = g.withColumns({f"coverage_at_{k}": cov(k) for k in (1, 3, 5)}).withColumn("source_accuracy_at_3", F.when(expected, F.exists(top(3), lambda x: x["_fits"])))
+    g = g.withColumn("section_accuracy_at_3", F.when(section != "", F.exists(top(3), lambda x: x["_sec"] == section))).withColumn("table_row_recall_at_3", F.when(F.col("question_type") == "numeric_fact", F.exists(top(3), lambda x: x["_type"] == "table_row")))
     src = F.col("source_accuracy_at_3")
     reason = (
-        F.when(F.col("coverage_at_3") & (src.isNull() | src), "none").when(F.col("_boiler"), "boilerplate").when(src.isNotNull() & ~src, "wrong_company")
-        .when((F.coalesce("q_source_section", F.lit("")) != "") & ~F.col("_any_section"), "wrong_section").when((F.col("question_type") == "numeric_fact") & ~F.col("_row"), "table_label_missing")
-        .when(~F.col("coverage_at_3"), "answer_split_across_chunks").otherwise("none")
+        F.when(F.col("coverage_at_3") & (src.isNull() | src), "none").when((F.size("_r") == 0) & ~F.col("coverage_at_3"), "retrieval_miss").when(F.exists("_r", lambda x: F.contains(F.lower(x["text"]), F.lit("forward-looking"))), "boilerplate")
+        .when(src.isNotNull() & ~src, "wrong_company").when((F.size("_r") > 0) & (section != "") & ~F.exists("_r", lambda x: x["_sec"] == section), "wrong_section")
+        .when((F.col("question_type") == "numeric_fact") & ~F.exists("_r", lambda x: x["_type"] == "table_row"), "table_label_missing").when((F.size("_r") > 0) & ~F.col("coverage_at_3"), "answer_split_across_chunks").otherwise("none")
+    )
+    matched = F.get(F.filter(top(5), lambda x: x["_own"]), 0)["chunk_id"]
+    return g.select(
+        query_key, told(lambda x: x["chunk_id"]).alias("retrieved_chunk_ids"), told(lambda x: x["_sec"]).alias("retrieved_sections"), told(lambda x: x["_type"]).alias("retrieved_source_types"), F.size("_r").alias("results"),
+        "coverage_at_1", "coverage_at_3", "coverage_at_5", "source_accuracy_at_3", "section_accuracy_at_3", "table_row_recall_at_3", matched.alias("matched_chunk_id"), reason.alias("noise_reason"),
     )
-    return g.withColumn("noise_reason", reason).select(query_key, "coverage_at_1", "coverage_at_3", "coverage_at_5", "source_accuracy_at_3", "section_accuracy_at_3", "table_row_recall_at_3", "matched_chunk_id", "noise_reason")
 
 
-def random_context(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int, seed: int = 100) -> DataFrame:
-    """k rows for each query by a hash of seed, slot and query: the row at a drawn place among all. The same place may be drawn for several queries."""
-    n = docs.count()
-    placed = docs.select(doc_key, F.pmod(F.conv(F.substring(F.md5(F.col(doc_key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("place"))
-    one = placed.groupBy("place").agg(F.min(doc_key).alias(doc_key))
-    draws = queries.select(query_key, F.explode(F.sequence(F.lit(1), F.lit(4 * k))).alias("slot")).withColumn("place", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "slot", query_key)), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))))
-    hit = draws.join(one, "place").dropDuplicates([query_key, doc_key])
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("slot"))).where(F.col("rank") <= k).select(query_key, "rank", doc_key)
+def first_metadata(results: DataFrame, query_key: str, name: str) -> DataFrame:
+    """(query_key, name): the first result's value that is not empty."""
+    return results.where(F.coalesce(F.col(name).cast("string"), F.lit("")) != "").groupBy(query_key).agg(F.min_by(F.col(name), "rank").alias(name))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:
+def random_context(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int, seed: int = 100) -> DataFrame:
+    """(query_key, rank, doc_key): k rows for each query, each set of k equally likely, by a hash of seed, slot and query.
+
+    Rows are numbered without gaps in key order, so each can be drawn; a number drawn twice gives way to the last
+    one its slot allows, which no earlier slot can have: k different ones for every query, or all where there are fewer.
+    """
+    table = numbered(docs, doc_key)
+    n = table.count()
+    k = min(k, n)
+    if not k:
+        return queries.select(query_key, F.lit(None).cast("int").alias("rank"), F.lit(None).cast(docs.schema[doc_key].dataType).alias(doc_key)).limit(0)
+    draw = lambda slot: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), slot, F.col(query_key))), 1, 8), 16, 10).cast("long"), slot + F.lit(n - k + 1))
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), lambda got, slot: F.concat(got, F.array(F.when(F.array_contains(got, draw(slot)), slot.cast("long") + (n - k)).otherwise(draw(slot)))))
+    hit = queries.select(query_key, F.posexplode(picks).alias("rank", "number")).join(table.select("number", doc_key), "number")
+    return hit.select(query_key, (F.col("rank") + 1).alias("rank"), doc_key)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 32_768) -> DataFrame:
     """The k nearest rows of each query by cosine, each query against all rows.
 
-    Queries go in blocks to all tasks, which keep the k best of their rows; only these are shuffled. The set of
-    queries is stated, so this is no join of all with all.
+    The stated queries go in blocks, each of which meets every part of the rows in one grouped task: blocks times
+    parts tasks, however many queries there are; a task keeps the k best of its part, and only these are shuffled.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where("v is not null").toLocalIterator()
-    src = vectors.select(F.col(key).alias("d"), F.col(vector).alias("v")).where("v is not null")
+    src = vectors.select(F.col(key).alias("d"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col(key).alias("d"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     kind = vectors.schema[key].dataType.simpleString()
-    out, held = None, []
-
-    def run(held):
-        ids, mat = [r.q for r in held], np.array([r.v for r in held], dtype=np.float64)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
-        sent = src.sparkSession.sparkContext.broadcast((ids, mat))
-
-        def best(frames):
-            ids, mat = sent.value
-            top_s, top_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)
-            for f in frames:
-                x = np.array(list(f["v"]), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = np.round(np.hstack([top_s, mat @ x.T]), 6)
-                d = np.hstack([top_d, np.tile(f["d"].to_numpy(object), (len(ids), 1))])
-                keep = np.array([np.lexsort((d[i].astype(np.int64), -s[i]))[:k] for i in range(len(ids))])
-                top_s, top_d = np.take_along_axis(s, keep, 1), np.take_along_axis(d, keep, 1)
-            if top_s.shape[1]:
-                m = top_s.shape[1]
-                yield pd.DataFrame({"q": np.repeat(ids, m), "d": top_d.ravel(), "score": top_s.ravel()})
-
-        return src.mapInPandas(best, f"q {kind}, d {kind}, score double")
-
-    for r in rows:
-        held.append(r)
-        if len(held) == block:
-            one, held = run(held), []
-            out = one if out is None else out.unionByName(one)
-    if held:
-        one = run(held)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return src.sparkSession.createDataFrame([], f"q {kind}, d {kind}, score double, rank int")
-    return top_k(out, "q", "d", k)
+    blocks = max(1, -(-asked.count() // block))
+    parts = max(1, min(src.rdd.getNumPartitions(), 4096))
+    place = F.pmod(F.xxhash64("d"), F.lit(blocks))
+    left = asked.select(place.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "d", "v")
+    right = src.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("d", F.lit(1)), F.lit(parts)).cast("int").alias("p"), "d", "v")
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"q": [], "d": [], "score": []})
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        left, right, ids = unit(np.stack(q["v"].to_list())), unit(np.stack(x["v"].to_list())), x["d"].to_numpy()
+        top_s, top_d = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=ids.dtype)
+        for a in range(0, len(right), 256):
+            top_s = np.hstack([top_s, np.round(left @ right[a : a + 256].T, 6)])
+            top_d = np.hstack([top_d, np.broadcast_to(ids[a : a + 256], (len(q), len(ids[a : a + 256])))])
+            keep = np.lexsort((top_d, -top_s), axis=1)[:, :k]
+            top_s, top_d = np.take_along_axis(top_s, keep, 1), np.take_along_axis(top_d, keep, 1)
+        return pd.DataFrame({"q": np.repeat(q["d"].to_numpy(), top_s.shape[1]), "d": top_d.ravel(), "score": top_s.ravel()})
+
+    found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(best, f"q {kind}, d {kind}, score double")
+    return top_k(found, "q", "d", k)

@@ -8,7 +8,7 @@ before or after is carried by at most two boundary rows per partition, which is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import checkpointed, parallelism
@@ -24,6 +24,20 @@ def range_sorted(df: DataFrame, keys: list[str], partitions: int | None = None)
     return checkpointed(out)
 
 
+def numbered(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """(number, key): rows numbered 0, 1, ... in the order of their key, without a window over all of them.
+
+    A row's number is its place in its range partition plus the rows of those before, of which one count a
+    partition is summed.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    n = partitions or parallelism(df)
+    table = checkpointed(df.select(key).repartitionByRange(n, key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("_part"), place.alias("_place")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = table.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return table.join(F.broadcast(starts), "_part").select((F.col("_before") + F.col("_place")).alias("number"), key)  # a row a partition
+
+
 def runs(frames, key: str):
     """(value of ``key``, frame of all its rows) for each run of equal values in an iterator of sorted frames.
 

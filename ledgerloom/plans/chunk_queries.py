@@ -87,17 +87,21 @@ def _inline_sql() -> str:
     figure, share = r"\s+\$?\s*([\d,]+(?:\.\d+)?)", r"(?:\s+\(?-?\d+\)?\s*%|\s+—\s*%)?"
     flat = f"replace({S.ws('text')}, chr(10), ' ')"
     parts = []
-    for label in ("Services", "Products", "Net sales", "Revenue"):
+    for label in C.INLINE_LABELS:
         pat = rf"(?i)(?:^|[^A-Za-z])({label})(?:\s*\(\d+\))?{figure}{share}{figure}{share}{figure}"
-        parts.append(f"SELECT record_id, unnest(list_zip({', '.join(f'regexp_extract_all(t, $x${pat}$x$, {g})' for g in range(1, 5))})) AS z FROM t")
-    return f"WITH t AS (SELECT record_id, {flat} AS t FROM (SELECT record_id, array_to_string(list_transform(\"rows\", lambda r: array_to_string(r, ' ')), chr(10)) AS text FROM extracted_tables WHERE \"rows\" IS NOT NULL)) SELECT record_id, z[1] AS row_label, concat_ws('|', z[2], z[3], z[4]) AS \"values\" FROM ({' UNION ALL '.join(parts)})"
+        parts.append(f"SELECT record_id, t, y, unnest(list_zip({', '.join(f'regexp_extract_all(t, $x${pat}$x$, {g})' for g in range(1, 5))})) AS z FROM t")
+    title = "CASE " + " ".join(f"WHEN contains(lower(t), '{x.lower()}') THEN '{x}'" for x in C.INLINE_TITLES) + " ELSE 'Financial table' END"
+    found = r"regexp_extract_all(t, '\b(20\d{2}|19\d{2})\b', 1)"
+    trios = f"list_filter(list_transform(generate_series(1, len({found}) - 2), lambda i: list_slice({found}, i, i + 2)), lambda w: CAST(w[1] AS INT) - 1 = CAST(w[2] AS INT) AND CAST(w[2] AS INT) - 1 = CAST(w[3] AS INT))[1]"
+    years = f"coalesce({trios}, CASE WHEN y IS NOT NULL THEN [CAST(y AS VARCHAR), CAST(y - 1 AS VARCHAR), CAST(y - 2 AS VARCHAR)] END, CASE WHEN len({found}) > 0 THEN list_slice({found}, 1, 3) END, {list(C.NO_YEARS)})"
+    return f"WITH t AS (SELECT record_id, TRY_CAST(\"year\" AS INT) AS y, {flat} AS t FROM (SELECT record_id, \"year\", array_to_string(list_transform(\"rows\", lambda r: array_to_string(r, ' ')), chr(10)) AS text FROM extracted_tables WHERE \"rows\" IS NOT NULL)) SELECT record_id, z[1] AS row_label, concat_ws('|', z[2], z[3], z[4]) AS \"values\", {title} AS table_title, array_to_string({years}, '|') AS years FROM ({' UNION ALL '.join(parts)})"
 
 
 @query("c9_inline_rows", _inline_sql())
 def c9(spark, d):
     t = table(spark, d, "extracted_tables").where("rows is not null")
-    lines = t.select("record_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "\n").alias("text"))
-    return C.inline_rows(lines, "record_id", "text", ("Services", "Products", "Net sales", "Revenue")).withColumn("values", F.array_join("values", "|"))
+    lines = t.select("record_id", "year", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "\n").alias("text"))
+    return C.inline_rows(lines, "record_id", "text", F.col("year")).withColumns({c: F.array_join(c, "|") for c in ("values", "years")})
 
 
 @query("c10_row_dedupe", _ROWS_SQL + ' SELECT record_id, line_no, row_label FROM (SELECT *, row_number() OVER (PARTITION BY record_id, lower(row_label), "values" ORDER BY line_no) AS n FROM rows_) WHERE n = 1')
@@ -181,10 +185,17 @@ def c22(spark, d):
     return table(spark, d, "chunks").where("not retrievable").select("chunk_key", "non_retrievable_reason", F.substring("text", 1, 240).alias("preview"))
 
 
-@query("c23_samples", "SELECT chunk_key, source_type, n FROM (SELECT chunk_key, source_type, row_number() OVER (PARTITION BY source_type ORDER BY chunk_key) AS n FROM chunks) WHERE n <= 5")
+@query(
+    "c23_samples",
+    """SELECT chunk_key, kind, n FROM (SELECT chunk_key, source_type AS kind, row_number() OVER (PARTITION BY source_type ORDER BY chunk_key) AS n FROM chunks) WHERE n <= 5
+UNION ALL SELECT chunk_key, 'not retrievable', n FROM (SELECT chunk_key, row_number() OVER (ORDER BY chunk_key) AS n FROM chunks WHERE NOT retrievable) WHERE n <= 5""",
+)
 def c23(spark, d):
-    """The first five chunks of each type: a report."""
-    return C.samples(table(spark, d, "chunks"), "source_type", "chunk_key").select("chunk_key", "source_type", "n")
+    """The first five chunks of each type and of those that can't be retrieved: a report."""
+    chunks = table(spark, d, "chunks").select("chunk_key", "source_type", "retrievable")
+    kinds = C.samples(chunks.withColumn("kind", F.col("source_type")), "kind", "chunk_key").select("chunk_key", "kind", "n")
+    lost = C.samples(chunks.where("not retrievable").withColumn("kind", F.lit("not retrievable")), "kind", "chunk_key").select("chunk_key", "kind", "n")
+    return kinds.unionByName(lost)
 
 
 @query("c13_context_addon", "SELECT DISTINCT source_file FROM chunks WHERE source_file IS NOT NULL AND source_file NOT IN (SELECT source_file FROM chunks WHERE source_type = 'local_context' AND source_file IS NOT NULL)")
@@ -213,3 +224,9 @@ def c6(spark, d):
 def c7(spark, d):
     """Chunks by configuration and kind, for all eight."""
     return _built(spark, d, *C.CONFIGS).groupBy("chunk_config", "source_type", "retrievable").agg(F.count("*").alias("chunks"))
+
+
+@query("c13_local_contexts")
+def c13_contexts(spark, d):
+    """Every local context of the configuration that adds some to documents without any."""
+    return _built(spark, d, "table_aware_clean_context").where("source_type = 'local_context'").select("chunk_key", "section_id", "chunk_index", F.md5("text").alias("text"))

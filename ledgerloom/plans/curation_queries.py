@@ -45,14 +45,44 @@ _LIST = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x
 _Q1 = _STATE + f", v AS (SELECT pos, question_id, question_type, CASE WHEN kind = 'negative' THEN {_LIST(_FIRST + _NEG)} ELSE {_LIST(_FIRST + _POS)} END AS reasons FROM qq)"
 
 
-@query("q1_validation", _Q1 + " SELECT * FROM v")
+_SHAPE = [x for x in _POS if "evidence_not_supported" not in x]
+
+
+@query("q1_structure", _STATE + f", v AS (SELECT pos, question_id, question_type, CASE WHEN kind = 'negative' THEN {_LIST(_FIRST + _NEG)} ELSE {_LIST(_FIRST + _SHAPE)} END AS reasons FROM qq) SELECT * FROM v")
+def q1_structure(spark, d):
+    """Why questions are not well formed, but for whether their chunks hold their evidence, which SQL can't tell."""
+    return Q.structural_reasons(*_state(spark, d), support=False)
+
+
+@query("q1_validation")
 def q1(spark, d):
+    """Why questions are not well formed, likeness of evidence included."""
     return Q.structural_reasons(*_state(spark, d))
 
 
-@query("q3_evidence", _STATE + " SELECT pos, ids, missing, supported, md5(evidence) AS evidence FROM st")
+@query("q3_evidence", _STATE + " SELECT pos, ids, missing, supported AS covered, md5(evidence) AS evidence FROM st")
 def q3(spark, d):
-    return _state(spark, d)[1].withColumn("evidence", F.md5("evidence"))
+    return _state(spark, d)[1].withColumn("evidence", F.md5("evidence")).drop("supported")
+
+
+@query("q4_fuzzy_support")
+def q4(spark, d):
+    """Questions whose evidence some chunk they name covers, or is like."""
+    return _state(spark, d)[1].select("pos", "covered", "supported")
+
+
+_KNOWN = "CASE upper(coalesce(ticker, '')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.COMPANIES.items()) + " END"
+
+
+@query(
+    "q8_standardized",
+    f"""SELECT pos, coalesce(nullif("year", ''), '') AS "year", CASE WHEN (coalesce(company, '') = '' OR lower(company) = 'unknown') AND {_KNOWN} IS NOT NULL THEN {_KNOWN} ELSE company END AS company,
+ CASE WHEN coalesce(normalized_answer, '') = '' AND coalesce(answer, '') <> '' THEN answer ELSE normalized_answer END AS normalized_answer,
+ array_to_string(CASE WHEN coalesce(len(answer_aliases), 0) < 1 AND coalesce(question_type, '') <> 'negative' AND coalesce(answer, '') <> '' THEN [answer] ELSE answer_aliases END, '|') AS aliases FROM questions_verified""",
+)
+def q8(spark, d):
+    """Questions with company, year, normalised answer and alias filled in."""
+    return Q.standardized(table(spark, d, "questions_verified")).select("pos", "year", "company", "normalized_answer", F.array_join("answer_aliases", "|").alias("aliases"))
 
 
 def _toc(x: str) -> str:
@@ -84,12 +114,44 @@ def q7(spark, d):
     return Q.balance_gaps(Q.semantic_reasons(*_state(spark, d)).where("quality = 'research_valid'"))
 
 
+@query("q7_balance_by_ticker", _Q5 + f", n AS (SELECT * FROM (VALUES {', '.join(f'''('{k}', {v})''' for k, v in Q.BALANCE.items())}) t(question_type, needed)), t AS (SELECT DISTINCT coalesce(ticker, '') AS ticker FROM questions_verified), y AS (SELECT x.pos, x.question_type, coalesce(q.ticker, '') AS ticker FROM x JOIN questions_verified q ON q.pos = x.pos WHERE x.quality = 'research_valid') SELECT t.ticker, n.question_type, count(y.pos) AS questions, n.needed FROM t CROSS JOIN n LEFT JOIN y ON y.ticker = t.ticker AND y.question_type = n.question_type GROUP BY ALL HAVING count(y.pos) < n.needed")
+def q7_by_ticker(spark, d):
+    """Kinds of questions that a benchmark of one ticker would lack."""
+    q, state = _state(spark, d)
+    asked = q.select("pos", F.coalesce("ticker", F.lit("")).alias("ticker"))
+    valid = Q.semantic_reasons(q, state).where("quality = 'research_valid'").join(asked, "pos")
+    return Q.balance_gaps(valid, asked.select("ticker").distinct())
+
+
 @query("q9_reason_counts", _Q5 + " SELECT question_type, reason, count(*) AS questions FROM (SELECT question_type, unnest(string_split(reasons, ';')) AS reason FROM x WHERE reasons <> '') GROUP BY ALL")
 def q9(spark, d):
     r = Q.semantic_reasons(*_state(spark, d)).where("reasons <> ''")
     return r.select("question_type", F.explode(F.split("reasons", ";")).alias("reason")).groupBy("question_type", "reason").agg(F.count("*").alias("questions"))
 
 
+_UNK = lambda c: f"coalesce(nullif({c}, ''), 'unknown')"
+
+
+@query(
+    "q9_cleaning_summary",
+    _Q5 + f""", y AS (SELECT x.*, q.ticker, q.company FROM x JOIN questions_verified q ON q.pos = x.pos) SELECT 'total' AS category, 'input_questions' AS value, count(*) AS count FROM y UNION ALL
+SELECT 'total', CASE WHEN quality = 'research_valid' THEN 'accepted_research_valid' ELSE 'rejected_or_structural' END, count(*) FROM y GROUP BY 2 UNION ALL SELECT 'rejected_by_reason', string_split(reasons, ';')[1], count(*) FROM y WHERE quality <> 'research_valid' GROUP BY 2 UNION ALL
+SELECT 'accepted_by_question_type', {_UNK('question_type')}, count(*) FROM y WHERE quality = 'research_valid' GROUP BY 2 UNION ALL SELECT 'accepted_by_ticker', {_UNK('ticker')}, count(*) FROM y WHERE quality = 'research_valid' GROUP BY 2 UNION ALL
+SELECT 'accepted_by_company', {_UNK('company')}, count(*) FROM y WHERE quality = 'research_valid' GROUP BY 2""",
+)
+def q9_summary(spark, d):
+    """What cleaning kept and dropped, and why."""
+    q, state = _state(spark, d)
+    return Q.cleaning_summary(q, Q.semantic_reasons(q, state))
+
+
+@query("q13_remap_report")
+def q13(spark, d):
+    """How much evidence remapping finds, keeps and misses: one row."""
+    q = table(spark, d, "questions_verified")
+    return Q.remap_report(q, Q.remap_evidence(q, table(spark, d, "chunks")))
+
+
 @query("q10_evidence_remap")
 def q10(spark, d):
     return Q.remap_evidence(table(spark, d, "questions_verified"), table(spark, d, "chunks"))

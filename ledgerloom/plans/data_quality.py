@@ -19,17 +19,25 @@ def _decoded(spark, d, bare_weight):
 @query("p1_found")
 def p1_found(spark, d):
     """Fields that state the gold answer's quantity once both are in base units."""
-    return units.matches_gold(_decoded(spark, d, units.STRICT), "gold_answer").select(F.col("row_id").alias("detail_id"), "field")
+    return units.matches_gold(_decoded(spark, d, units.RULE), "gold_answer").select(F.col("row_id").alias("detail_id"), "field")
 
 
 @query("p1_units")
 def p1_units(spark, d):
     """Every reading in its base unit, with the unit the level suggests for bare numbers."""
-    return _decoded(spark, d, units.INFER).select(F.col("row_id").alias("detail_id"), "field", "mention_no", "dimension", "value", "unit", "scale", F.col("base_value").alias("value_in_base_unit"), "switched")
+    return _decoded(spark, d, units.INFER).select(F.col("row_id").alias("detail_id"), "field", "mention_no", "dimension", "value", "unit", "scale", F.col("base_value").alias("value_in_base_unit"), "switched", (F.abs(F.col("base_value") - F.col("rule_value")) > 1e-9 * F.abs("rule_value")).alias("differs_from_rule"))
+
+
+@query("p1_differences")
+def p1_differences(spark, d):
+    """How many readings of each field and dimension the sequence decodes otherwise than the rule of the data reads them."""
+    decoded = _decoded(spark, d, units.RULE)
+    differs = F.abs(F.col("base_value") - F.col("rule_value")) > 1e-9 * F.abs("rule_value")
+    return decoded.groupBy("field", "dimension").agg(F.count("*").alias("readings"), F.count(F.when(F.col("bare"), 1)).alias("bare"), F.count(F.when(differs, 1)).alias("differ"), F.count(F.when(differs & F.col("bare"), 1)).alias("bare_differ"))
 
 
 QUESTION_CHUNKS = orphans.ForeignKey("questions_verified", "question_id", "relevant_chunk_ids", "chunks", "chunk_id", "validated_at")
-DETAIL_QUESTION = orphans.ForeignKey("evaluation_details", "detail_id", "question_id", "questions_verified", "question_id")
+DETAIL_QUESTION = orphans.ForeignKey("evaluation_details", "detail_id", "question_id", "questions_verified", "question_id", "evaluated_at")
 DETAIL_CHUNKS = orphans.ForeignKey("evaluation_details", "detail_id", "retrieved_chunk_ids", "chunks", "chunk_id", "evaluated_at")
 
 
@@ -47,26 +55,31 @@ WHERE r.chunk_id IS NOT NULL AND r.question_id IS NOT NULL AND (b.born IS NULL O
 
 @query("p6_found", P6_FOUND_SQL)
 def p6_found(spark, d):
-    """Questions' references to chunks that were missing, late or deleted when the question was validated."""
-    tables = {n: table(spark, d, n) for n in ("questions_verified", "chunks")}
-    found = orphans.orphan_references(tables, [QUESTION_CHUNKS], _lifetimes(spark, d))
+    """Questions' references to chunks that were missing, late or deleted when the question was validated: the cascade's depth 0."""
+    found = _links(spark, d, [QUESTION_CHUNKS, DETAIL_QUESTION]).where("depth = 0 AND child_table = 'questions_verified'")
     return found.select(F.col("child_key").alias("question_id"), F.col("parent_key").alias("chunk_id")).distinct()
 
 
+def _links(spark, d, fks):
+    tables = {n: table(spark, d, n) for n in ("questions_verified", "chunks", "evaluation_details")}
+    return orphans.orphan_links(tables, fks, _lifetimes(spark, d))
+
+
+_BORN = """born AS (SELECT chunk_id, min(ingested_at) AS born FROM chunks GROUP BY chunk_id),
+gone AS (SELECT chunk_id, min(deleted_at) AS gone FROM chunk_deletions GROUP BY chunk_id)"""
+_ORPHAN = "SELECT '{0}' AS child_table, 'chunks' AS parent_table, r.t, CASE WHEN b.born IS NULL THEN 'missing' WHEN b.born > r.t THEN 'late' WHEN g.gone <= r.t OR (g.gone IS NOT NULL AND r.t IS NULL) THEN 'deleted' END AS reason FROM {1} r LEFT JOIN born b ON b.chunk_id = r.chunk_id LEFT JOIN gone g ON g.chunk_id = r.chunk_id WHERE r.chunk_id IS NOT NULL AND r.id IS NOT NULL"
+
+
 @query(
     "p6_by_month",
-    """
-WITH refs AS (SELECT DISTINCT question_id, validated_at, unnest(relevant_chunk_ids) AS chunk_id FROM questions_verified),
-born AS (SELECT chunk_id, min(ingested_at) AS born FROM chunks GROUP BY chunk_id),
-gone AS (SELECT chunk_id, min(deleted_at) AS gone FROM chunk_deletions GROUP BY chunk_id),
-o AS (SELECT r.*, CASE WHEN b.born IS NULL THEN 'missing' WHEN b.born > r.validated_at THEN 'late' WHEN g.gone <= r.validated_at THEN 'deleted' END AS reason
- FROM refs r LEFT JOIN born b ON b.chunk_id = r.chunk_id LEFT JOIN gone g ON g.chunk_id = r.chunk_id WHERE r.chunk_id IS NOT NULL AND r.question_id IS NOT NULL)
-SELECT 'questions_verified' AS child_table, 'chunks' AS parent_table, strftime(validated_at, '%Y-%m') AS month, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL""",
+    f"""WITH rq AS (SELECT DISTINCT question_id AS id, validated_at AS t, unnest(relevant_chunk_ids) AS chunk_id FROM questions_verified), re AS (SELECT DISTINCT detail_id AS id, evaluated_at AS t, unnest(retrieved_chunk_ids) AS chunk_id FROM evaluation_details), {_BORN},
+o AS ({_ORPHAN.format('questions_verified', 'rq')} UNION ALL {_ORPHAN.format('evaluation_details', 're')} UNION ALL
+ SELECT 'evaluation_details', 'questions_verified', t, 'missing' FROM (SELECT DISTINCT detail_id, question_id, evaluated_at AS t FROM evaluation_details WHERE question_id IS NOT NULL AND detail_id IS NOT NULL) WHERE question_id NOT IN (SELECT question_id FROM questions_verified WHERE question_id IS NOT NULL))
+SELECT child_table, parent_table, strftime(t, '%Y-%m') AS month, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL""",
 )
 def p6_by_month(spark, d):
-    """Orphan references per table, month and reason."""
-    tables = {n: table(spark, d, n) for n in ("questions_verified", "chunks")}
-    found = orphans.orphan_references(tables, [QUESTION_CHUNKS], _lifetimes(spark, d))
+    """Orphan references per table, month and reason: the cascade's depth 0 over every foreign key."""
+    found = _links(spark, d, [QUESTION_CHUNKS, DETAIL_QUESTION, DETAIL_CHUNKS]).where("depth = 0")
     return found.groupBy("child_table", "parent_table", F.date_format("at", "yyyy-MM").alias("month"), "reason").agg(F.count("*").alias("orphans"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import chunking as C
+from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import retrieval as R
 from ledgerloom.plans import query
 from ledgerloom.plans import sqltext as S
-from ledgerloom.session import checkpointed, table
+from ledgerloom.session import checkpointed, scratch, table
 
 K = 3
 FILTERS = ["ticker", "year"]
@@ -17,7 +19,7 @@ QUESTION_COLS = ["pos", "question_id", "question", "answer", "answer_aliases", "
 def _chunks(spark, d):
     """Retrievable chunks, each id once: the last delivery."""
     c = table(spark, d, "chunks").where("text is not null AND (retrievable IS NULL OR retrievable)")
-    cols = ["chunk_key", "chunk_id", "text", "ticker", "year", "section_id", "source_type"]
+    cols = ["chunk_key", "chunk_id", "text", *R.METADATA]
     return c.groupBy("chunk_id").agg(F.max_by(F.struct(*cols), F.struct("ingested_at", "chunk_key")).alias("c")).select("c.*")
 
 
@@ -27,27 +29,69 @@ def _questions(spark, d):
 
 def _index(spark, d):
     chunks = _chunks(spark, d)
-    counts = R.term_counts(chunks, "chunk_key", "text")
+    counts = checkpointed(R.term_counts(chunks, "chunk_key", "text"))  # the texts are read once
     return chunks, counts, R.idf(counts, chunks.count())
 
 
-def _ranked(spark, d, boosted=True, k=K):
+def _pairs(spark, d):
+    """(questions with their query, chunks, scores): every question against the postings of the terms that any question has."""
     chunks, counts, weights = _index(spark, d)
     q = _questions(spark, d).withColumn("query", R.rewritten(_questions(spark, d)))
     asked = R.unit_weights(R.term_counts(q, "pos", "query"), weights, "pos")
-    s = R.scores(asked, R.unit_weights(counts, weights, "chunk_key"), "pos", "chunk_key", q, chunks, FILTERS)
-    if boosted:
-        full = s.join(q.select("pos", "question_type", R.row_label_terms(F.col("row_label"), F.col("question")).alias("row_terms")), "pos").join(chunks.select("chunk_key", "section_id", "source_type", "text"), "chunk_key")
-        s = full.select("pos", "chunk_key", (F.col("score") * R.boost(F.col("question_type"), F.col("section_id"), F.col("source_type"), F.col("text"), F.col("row_terms"))).alias("score"))
-    ranked = checkpointed(R.top_k(s, "pos", "chunk_key", k))  # k rows a question, read again for each group of filters
+    posted = checkpointed(R.postings(counts, weights, chunks, "chunk_key", FILTERS, asked))
+    return q, chunks, R.scores(asked, posted, "pos", "chunk_key", q, FILTERS)
+
+
+def _boosted(scored, q, chunks):
+    full = scored.join(q.select("pos", "question_type", R.row_label_terms(F.col("row_label"), F.col("question")).alias("row_terms")), "pos").join(chunks.select("chunk_key", "section_id", "source_type", "text"), "chunk_key")
+    return full.select("pos", "chunk_key", "source_type", (F.col("score") * R.boost(F.col("question_type"), F.col("section_id"), F.col("source_type"), F.col("text"), F.col("row_terms"))).alias("score"))
+
+
+def _ranked(spark, d, k=K):
+    q, chunks, s = _pairs(spark, d)
+    ranked = checkpointed(R.top_k(_boosted(s, q, chunks).drop("source_type"), "pos", "chunk_key", k))  # k rows a question, read again for each group of filters
     return R.filled(ranked, q, chunks, "pos", "chunk_key", k, FILTERS), q, chunks
 
 
-def _results(spark, d):
+def results(spark, d):
     ranked, q, chunks = _ranked(spark, d)
     return ranked.join(chunks, "chunk_key"), q
 
 
+def random_results(spark, d):
+    """Three chunks drawn for each question."""
+    chunks = _chunks(spark, d)
+    return R.random_context(_questions(spark, d), chunks, "pos", "chunk_key", K).join(chunks, "chunk_key")
+
+
+MAX_CONFIGS = 1000
+
+
+def config_diagnostics(spark, d):
+    """(question_id, chunk_config, ...): retrieval for every question over the chunks of each configuration, an index of its own, and its diagnosis."""
+    chunks = _chunks(spark, d).withColumn("chunk_config", F.coalesce("chunk_config", F.lit(C.DEFAULT_CONFIG)))
+    named = chunks.select("chunk_key", "chunk_config", F.explode(R.terms(F.col("text"))).alias("term"))
+    counts = checkpointed(R.within(named, "chunk_config").groupBy("chunk_key", "term").agg(F.count("*").alias("tf")))
+    sizes = chunks.groupBy("chunk_config").agg(F.count("*").alias("n")).limit(MAX_CONFIGS + 1).collect()
+    if len(sizes) > MAX_CONFIGS:
+        raise ValueError(f"more than {MAX_CONFIGS} configurations")
+    each = spark.createDataFrame([(r.chunk_config, r.n) for r in sizes], "chunk_config string, n long")
+    weights = R.idf_within(counts, each, "chunk_config")
+    last = E.last_by(_questions(spark, d).where("question_id is not null"), "question_id", "pos")
+    q = last.withColumn("query", R.rewritten(last)).withColumn("chunk_config", F.explode(F.array(*(F.lit(r.chunk_config) for r in sizes)) if sizes else F.array().cast("array<string>")))
+    q = q.withColumn("qc", F.concat_ws("|", "question_id", "chunk_config"))
+    asked = R.within(q.select("qc", "chunk_config", F.explode(R.terms(F.col("query"))).alias("term")), "chunk_config").groupBy("qc", "term").agg(F.count("*").alias("tf"))
+    asked = R.unit_weights(asked, weights, "qc")
+    filters = [*FILTERS, "chunk_config"]
+    posted = checkpointed(R.postings(counts, weights, chunks, "chunk_key", filters, asked))
+    s = R.scores(asked, posted, "qc", "chunk_key", q, filters, "chunk_config")
+    full = s.join(q.select("qc", "question_type", R.row_label_terms(F.col("row_label"), F.col("question")).alias("row_terms")), "qc").join(chunks.select("chunk_key", "section_id", "source_type", "text"), "chunk_key")
+    boosted = full.select("qc", "chunk_key", (F.col("score") * R.boost(F.col("question_type"), F.col("section_id"), F.col("source_type"), F.col("text"), F.col("row_terms"))).alias("score"))
+    ranked = checkpointed(R.top_k(boosted, "qc", "chunk_key", K))
+    results = R.filled(ranked, q, chunks, "qc", "chunk_key", K, filters, "chunk_config").join(chunks.drop("chunk_config"), "chunk_key")
+    return R.diagnostics(results, q, "qc").join(q.select("qc", "question_id", "chunk_config"), "qc")
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
 
 
@@ -77,7 +121,7 @@ sc AS (SELECT qw.pos, dw.chunk_key, sum(qw.w / qw.n * dw.w / dw.n) AS score FROM
 _BOOST = """CASE q.question_type WHEN 'numeric_fact' THEN CASE WHEN c.source_type IN ('table_row', 'table_summary') THEN 1.75 * CASE WHEN c.section_id IN ('Item 7', 'Item 8') THEN 1.35 ELSE 1.0 END
  * CASE WHEN len(q.row_terms) > 0 AND len(list_filter(q.row_terms, lambda t: NOT contains(lower(c.text), t))) = 0 THEN 2.5 ELSE 1.0 END ELSE 1.0 END WHEN 'risk_factor' THEN CASE WHEN c.section_id = 'Item 1A' AND c.source_type = 'narrative' THEN 1.75 ELSE 1.0 END
  WHEN 'explanation' THEN CASE WHEN c.section_id = 'Item 7' AND c.source_type IN ('narrative', 'local_context') THEN 1.5 ELSE 1.0 END ELSE 1.0 END"""
-_RANKED = (
+RANKED_SQL = (
     _WITH
     + f"""b AS (SELECT sc.pos, sc.chunk_key, round(sc.score * {_BOOST}, 6) AS score FROM sc JOIN q ON q.pos = sc.pos JOIN c ON c.chunk_key = sc.chunk_key),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, chunk_key) AS rank FROM b) WHERE rank <= {K}),
@@ -95,11 +139,7 @@ def r1(spark, d):
 
 @query("r2_tfidf_top3", _WITH + f"s AS (SELECT pos, chunk_key, round(score, 6) AS score FROM sc) SELECT pos, chunk_key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, chunk_key) AS rank FROM s) WHERE rank <= {K}")
 def r2(spark, d):
-    chunks, counts, weights = _index(spark, d)
-    q = _questions(spark, d).withColumn("query", R.rewritten(_questions(spark, d)))
-    asked = R.unit_weights(R.term_counts(q, "pos", "query"), weights, "pos")
-    s = R.scores(asked, R.unit_weights(counts, weights, "chunk_key"), "pos", "chunk_key", q, chunks, FILTERS)
-    return R.top_k(s, "pos", "chunk_key", K).withColumn("rank", F.col("rank").cast("long"))
+    return R.top_k(_pairs(spark, d)[2], "pos", "chunk_key", K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -113,7 +153,7 @@ def r3(spark, d):
     return R.dense_top_k(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("r5_boosted_top3", _RANKED + "SELECT pos, chunk_key, score, rank FROM res")
+@query("r5_boosted_top3", RANKED_SQL + "SELECT pos, chunk_key, score, rank FROM res")
 def r5(spark, d):
     """Boosted top 3 of every question, short ones filled up at score 0."""
     return _ranked(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
@@ -137,61 +177,156 @@ def r11(spark, d):
     return _questions(spark, d).select("pos", F.array_join(parts, ";").alias("filters"))
 
 
-_PIECES = (
-    _RANKED
-    + f""", pc AS (SELECT res.pos, res.rank, '[' || res.rank || ': ' || array_to_string(list_filter([c.ticker, c."year", c.section_id, c.source_type], lambda x: x IS NOT NULL AND x <> ''), ' ') || '] ' || replace(c.text, chr(10), ' ') AS p FROM res JOIN c ON c.chunk_key = res.chunk_key),
-pn AS (SELECT *, {S.wc('p')} AS n FROM pc), pb AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pos ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pn),
-pk AS (SELECT pos, rank, CASE WHEN n <= 120 - before THEN p WHEN 120 - before > 8 THEN array_to_string(list_slice({S.words('p')}, 1, CAST(120 - before AS BIGINT)), ' ') END AS k FROM pb)
-SELECT pos, md5(string_agg(k, chr(10) || chr(10) ORDER BY rank)) AS context, count(*) AS pieces FROM pk WHERE k IS NOT NULL GROUP BY pos"""
-)
+def packed_sql(results: str, budget: int, name: str) -> str:
+    """CTEs ending in ``name``(pos, context, pieces) from a CTE of (pos, rank, chunk_key)."""
+    return f"""{name}_c AS (SELECT r.pos, r.rank, '[' || r.rank || ': ' || array_to_string(list_filter([c.ticker, c."year", c.section_id, c.source_type], lambda x: x IS NOT NULL AND x <> ''), ' ') || '] ' || replace(c.text, chr(10), ' ') AS p FROM {results} r JOIN c ON c.chunk_key = r.chunk_key),
+{name}_n AS (SELECT *, {S.wc('p')} AS n FROM {name}_c), {name}_b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pos ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}_n),
+{name}_k AS (SELECT pos, rank, CASE WHEN n <= {budget} - before THEN p WHEN {budget} - before > 8 THEN array_to_string(list_slice({S.words('p')}, 1, CAST({budget} - before AS BIGINT)), ' ') END AS k FROM {name}_b),
+{name} AS (SELECT q.pos, coalesce(string_agg(k, chr(10) || chr(10) ORDER BY rank), '') AS context, count(k) AS pieces FROM questions_verified q LEFT JOIN {name}_k ON {name}_k.pos = q.pos GROUP BY q.pos)
+"""
+
+
+BUDGET = 700
 
 
-@query("r12_context_pack", _PIECES)
+@query("r12_context_pack", RANKED_SQL + "," + packed_sql("res", BUDGET, "pk") + "SELECT pos, md5(context) AS context, pieces FROM pk")
 def r12(spark, d):
-    """Contexts under a budget of 120 words."""
-    results, _ = _results(spark, d)
-    return R.packed_context(results, "pos", 120).select("pos", F.md5("context").alias("context"), F.col("pieces").cast("long").alias("pieces"))
+    """Every question's context, under the budget of production."""
+    return R.packed_context(*results(spark, d), "pos", BUDGET).select("pos", F.md5("context").alias("context"), F.col("pieces").cast("long").alias("pieces"))
 
 
-def _diag_sql() -> str:
-    cov = {k: S.covered(f"t{k}", "gold_evidence_text", "answer", "answer_aliases") for k in (1, 3, 5)}
+def diag_sql(key: str = "pos", questions: str = "q") -> str:
+    """CTE diag of one row per question of a CTE ``questions``, from res(key, rank, score, chunk_key) and c."""
+    cov = {k: S.covered(f"coalesce(t{k}, '')", "gold_evidence_text", "answer", "answer_aliases") for k in (1, 3, 5)}
     fits = """((coalesce(q.ticker, '') = '' OR upper(coalesce(c.ticker, '')) = upper(q.ticker)) AND (coalesce(q."year", '') = '' OR coalesce(c."year", '') = q."year"))"""
     own = S.covered("c.text", "q.gold_evidence_text", "q.answer", "q.answer_aliases")
-    return (
-        _RANKED
-        + f""", j AS (SELECT q.pos, q.question_type, q.source_section, q.gold_evidence_text, q.answer, q.answer_aliases, (coalesce(q.ticker, '') <> '' OR coalesce(q."year", '') <> '') AS expected, res.rank, c.text, c.chunk_id, c.section_id, c.source_type, {fits} AS fits, {own} AS own
- FROM res JOIN q ON q.pos = res.pos JOIN c ON c.chunk_key = res.chunk_key),
-g AS (SELECT pos, any_value(question_type) AS question_type, any_value(source_section) AS source_section, any_value(gold_evidence_text) AS gold_evidence_text, any_value(answer) AS answer, any_value(answer_aliases) AS answer_aliases, any_value(expected) AS expected,
- {', '.join(f"string_agg(text, chr(10) ORDER BY rank) FILTER (rank <= {k}) AS t{k}" for k in (1, 3, 5))}, bool_or(rank <= 3 AND fits) AS src, bool_or(rank <= 3 AND coalesce(section_id, '') = source_section) AS sec, bool_or(coalesce(section_id, '') = source_section) AS anysec,
- bool_or(rank <= 3 AND coalesce(source_type, '') = 'table_row') AS row3, bool_or(coalesce(source_type, '') = 'table_row') AS row_, bool_or(contains(lower(text), 'forward-looking')) AS boiler, arg_min(chunk_id, rank) FILTER (own AND rank <= 5) AS matched_chunk_id FROM j GROUP BY pos),
+    return f""", j AS (SELECT res.{key} AS k_, res.rank, c.text, c.chunk_id, coalesce(c.section_id, '') AS sec_, coalesce(c.source_type, '') AS type_, {fits} AS fits, {own} AS own FROM res JOIN {questions} q ON q.{key} = res.{key} JOIN c ON c.chunk_key = res.chunk_key),
+g AS (SELECT q.{key}, q.question_type, q.source_section, q.gold_evidence_text, q.answer, q.answer_aliases, (coalesce(q.ticker, '') <> '' OR coalesce(q."year", '') <> '') AS expected, count(j.rank) AS results,
+ {', '.join(f"string_agg(j.text, chr(10) ORDER BY j.rank) FILTER (j.rank <= {k}) AS t{k}" for k in (1, 3, 5))}, coalesce(bool_or(j.rank <= 3 AND j.fits), FALSE) AS src, coalesce(bool_or(j.rank <= 3 AND j.sec_ = q.source_section), FALSE) AS sec, coalesce(bool_or(j.sec_ = q.source_section), FALSE) AS anysec,
+ coalesce(bool_or(j.rank <= 3 AND j.type_ = 'table_row'), FALSE) AS row3, coalesce(bool_or(j.type_ = 'table_row'), FALSE) AS row_, coalesce(bool_or(contains(lower(j.text), 'forward-looking')), FALSE) AS boiler, arg_min(j.chunk_id, j.rank) FILTER (j.own AND j.rank <= 5) AS matched_chunk_id,
+ coalesce(string_agg(j.chunk_id, ';' ORDER BY j.rank), '') AS retrieved_chunk_ids, coalesce(string_agg(j.sec_, ';' ORDER BY j.rank), '') AS retrieved_sections, coalesce(string_agg(j.type_, ';' ORDER BY j.rank), '') AS retrieved_source_types FROM {questions} q LEFT JOIN j ON j.k_ = q.{key} GROUP BY ALL),
 h AS (SELECT *, {', '.join(f"{cov[k]} AS coverage_at_{k}" for k in (1, 3, 5))}, CASE WHEN expected THEN src END AS source_accuracy_at_3, CASE WHEN coalesce(source_section, '') <> '' THEN sec END AS section_accuracy_at_3, CASE WHEN question_type = 'numeric_fact' THEN row3 END AS table_row_recall_at_3 FROM g),
-diag AS (SELECT pos, coverage_at_1, coverage_at_3, coverage_at_5, source_accuracy_at_3, section_accuracy_at_3, table_row_recall_at_3, matched_chunk_id, CASE WHEN coverage_at_3 AND (source_accuracy_at_3 IS NULL OR source_accuracy_at_3) THEN 'none' WHEN boiler THEN 'boilerplate' WHEN NOT source_accuracy_at_3 THEN 'wrong_company'
- WHEN coalesce(source_section, '') <> '' AND NOT anysec THEN 'wrong_section' WHEN question_type = 'numeric_fact' AND NOT row_ THEN 'table_label_missing' WHEN NOT coverage_at_3 THEN 'answer_split_across_chunks' ELSE 'none' END AS noise_reason FROM h)
+diag AS (SELECT {key}, retrieved_chunk_ids, retrieved_sections, retrieved_source_types, CAST(results AS INT) AS results, coverage_at_1, coverage_at_3, coverage_at_5, source_accuracy_at_3, section_accuracy_at_3, table_row_recall_at_3, matched_chunk_id, CASE WHEN coverage_at_3 AND (source_accuracy_at_3 IS NULL OR source_accuracy_at_3) THEN 'none'
+ WHEN results = 0 AND NOT coverage_at_3 THEN 'retrieval_miss' WHEN boiler THEN 'boilerplate' WHEN NOT source_accuracy_at_3 THEN 'wrong_company' WHEN results > 0 AND coalesce(source_section, '') <> '' AND NOT anysec THEN 'wrong_section' WHEN question_type = 'numeric_fact' AND NOT row_ THEN 'table_label_missing'
+ WHEN results > 0 AND NOT coverage_at_3 THEN 'answer_split_across_chunks' ELSE 'none' END AS noise_reason FROM h)
 """
-    )
 
 
-DIAG_SQL = _diag_sql()
+DIAG_SQL = RANKED_SQL + diag_sql()
+CONFIG_SQL = f"""WITH c AS (SELECT *, coalesce(chunk_config, '{C.DEFAULT_CONFIG}') AS cfg FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_key DESC) AS rn FROM chunks WHERE text IS NOT NULL AND (retrievable IS NULL OR retrievable)) WHERE rn = 1),
+nc AS (SELECT cfg, count(*) AS n FROM c GROUP BY cfg), q0 AS (SELECT *, {_QUERY} AS query, {_ROW_TERMS} AS row_terms FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos DESC) AS rn FROM questions_verified WHERE question_id IS NOT NULL) WHERE rn = 1),
+q AS (SELECT q0.*, nc.cfg, question_id || '|' || cfg AS qc FROM q0, nc), dt AS (SELECT chunk_key, cfg, term, count(*) AS tf FROM (SELECT chunk_key, cfg, unnest({_terms_sql('text')}) AS term FROM c) GROUP BY ALL),
+idf AS (SELECT dt.cfg, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM dt JOIN nc USING (cfg) GROUP BY dt.cfg, term),
+dw AS (SELECT chunk_key, dt.cfg, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY chunk_key)) AS n FROM dt JOIN idf USING (cfg, term)),
+qt AS (SELECT question_id, term, count(*) AS tf FROM (SELECT question_id, unnest({_terms_sql('query')}) AS term FROM q0) GROUP BY ALL),
+qw AS (SELECT question_id || '|' || cfg AS qc, cfg, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY question_id, cfg)) AS n FROM qt JOIN idf USING (term)),
+cand AS (SELECT q.qc, c.chunk_key FROM q JOIN c ON c.cfg = q.cfg AND (coalesce(q.ticker, '') = '' OR upper(q.ticker) = upper(c.ticker)) AND (coalesce(q."year", '') = '' OR upper(q."year") = upper(c."year"))),
+sc AS (SELECT qw.qc, dw.chunk_key, sum(qw.w / qw.n * dw.w / dw.n) AS score FROM qw JOIN dw ON dw.term = qw.term AND dw.cfg = qw.cfg JOIN cand ON cand.qc = qw.qc AND cand.chunk_key = dw.chunk_key GROUP BY ALL),
+b AS (SELECT sc.qc, sc.chunk_key, round(sc.score * {_BOOST}, 6) AS score FROM sc JOIN q ON q.qc = sc.qc JOIN c ON c.chunk_key = sc.chunk_key),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qc ORDER BY score DESC, chunk_key) AS rank FROM b) WHERE rank <= {K}), nt AS (SELECT q.qc, count(top.qc) AS n FROM q LEFT JOIN top ON top.qc = q.qc GROUP BY q.qc),
+fill AS (SELECT nt.qc, cand.chunk_key, nt.n, row_number() OVER (PARTITION BY nt.qc ORDER BY cand.chunk_key) AS p FROM nt JOIN cand ON cand.qc = nt.qc LEFT JOIN top ON top.qc = nt.qc AND top.chunk_key = cand.chunk_key WHERE nt.n < {K} AND top.qc IS NULL),
+res AS (SELECT qc, chunk_key, score, rank FROM top UNION ALL SELECT qc, chunk_key, 0.0, n + p FROM fill WHERE p <= {K} - n)
+""" + diag_sql("qc")
+NOISE = ["none", "retrieval_miss", "boilerplate", "wrong_company", "wrong_section", "table_label_missing", "answer_split_across_chunks"]
+
+
+@query("a9_noise_by_config", CONFIG_SQL + f"SELECT q.cfg AS chunk_config, count(*) AS questions, round(avg(CAST(coverage_at_3 AS INT)), 6) AS coverage_at_3, {', '.join(f'''count(*) FILTER (noise_reason = '{n}') AS noise_{n}''' for n in NOISE)} FROM diag JOIN q USING (qc) GROUP BY q.cfg")
+def a9_noise(spark, d):
+    """Every configuration's retrieval, in an index of its own: coverage, and why questions fail."""
+    g = config_diagnostics(spark, d).groupBy("chunk_config")
+    return g.agg(F.count("*").alias("questions"), F.round(F.avg(F.col("coverage_at_3").cast("int")), 6).alias("coverage_at_3"), *(F.count(F.when(F.col("noise_reason") == n, 1)).alias(f"noise_{n}") for n in NOISE))
+
+
+@query("r7_results", RANKED_SQL + "SELECT res.pos, res.rank, res.score, c.chunk_id, " + ", ".join(f'c."{m}"' for m in R.METADATA) + " FROM res JOIN c ON c.chunk_key = res.chunk_key")
+def r7(spark, d):
+    """Every result with its chunk's metadata."""
+    return results(spark, d)[0].select("pos", F.col("rank").cast("long").alias("rank"), "score", "chunk_id", *R.METADATA)
 
 
 @query("r13_diagnostics", DIAG_SQL + "SELECT * FROM diag")
 def r13(spark, d):
-    return R.diagnostics(*_results(spark, d), "pos")
+    return R.diagnostics(*results(spark, d), "pos")
+
+
+@query("r16_first_metadata", RANKED_SQL + "SELECT res.pos, arg_min(c.chunk_config, res.rank) AS chunk_config FROM res JOIN c ON c.chunk_key = res.chunk_key WHERE coalesce(c.chunk_config, '') <> '' GROUP BY res.pos")
+def r16(spark, d):
+    """The first result's configuration that is not empty."""
+    return R.first_metadata(results(spark, d)[0], "pos", "chunk_config")
 
 
 @query("r17_noise_reasons", DIAG_SQL + "SELECT noise_reason, count(*) AS questions FROM diag GROUP BY noise_reason")
 def r17(spark, d):
-    return R.diagnostics(*_results(spark, d), "pos").groupBy("noise_reason").agg(F.count("*").alias("questions"))
+    return R.diagnostics(*results(spark, d), "pos").groupBy("noise_reason").agg(F.count("*").alias("questions"))
+
+
+_HASH = lambda slot: f"CAST(('0x' || substr(md5('100:{slot}:' || q.pos), 1, 8)) AS BIGINT) % (n - 2 + {slot})"
+RANDOM_TAIL = f"""num AS (SELECT chunk_key, row_number() OVER (ORDER BY chunk_key) - 1 AS number FROM c), n AS (SELECT count(*) AS n FROM c),
+d0 AS (SELECT q.pos, {_HASH(0)} AS a, {_HASH(1)} AS b, {_HASH(2)} AS e, n FROM questions_verified q, n), d1 AS (SELECT pos, n, a, CASE WHEN b = a THEN n - 2 ELSE b END AS b, e FROM d0), d2 AS (SELECT pos, a, b, CASE WHEN e = a OR e = b THEN n - 1 ELSE e END AS e FROM d1),
+drawn AS (SELECT pos, 1 AS rank, a AS number FROM d2 UNION ALL SELECT pos, 2, b FROM d2 UNION ALL SELECT pos, 3, e FROM d2), rnd AS (SELECT pos, rank, chunk_key FROM drawn JOIN num USING (number))
+"""
+RANDOM_SQL = "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_key DESC) AS rn FROM chunks WHERE text IS NOT NULL AND (retrievable IS NULL OR retrievable)) WHERE rn = 1)," + RANDOM_TAIL
 
 
-@query("r18_random_context")
+@query("r18_random_context", RANDOM_SQL + "SELECT * FROM rnd")
 def r18(spark, d):
     return R.random_context(_questions(spark, d), _chunks(spark, d), "pos", "chunk_key", K)
 
 
+_TYPED = "net sales and free cash flow of the unit"
+_TYPED_SQL = _WITH.replace("qt AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(" + _terms_sql("query") + ") AS term FROM q) GROUP BY ALL)", f"qt AS (SELECT pos, term, count(*) AS tf FROM (SELECT 0 AS pos, unnest({_terms_sql(chr(39) + _TYPED + chr(39))}) AS term) GROUP BY ALL)")
+
+
+@query(
+    "r19_inspect",
+    _TYPED_SQL + f"""found AS (SELECT dw.chunk_key, sum(qw.w / qw.n * dw.w / dw.n) AS score FROM qw JOIN dw USING (term) GROUP BY dw.chunk_key),
+kept AS (SELECT c.*, round(coalesce(found.score, 0), 6) AS score FROM c LEFT JOIN found USING (chunk_key) WHERE contains(lower(coalesce(company, '')), 'orb')), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_key) AS rank FROM kept)
+SELECT rank, score, chunk_id, text, {', '.join(f'"{m}"' for m in R.METADATA)} FROM r WHERE rank <= 5""",
+)
+def r19(spark, d):
+    """A query typed in, over the chunks of companies whose name holds a text: the five best."""
+    chunks, counts, weights = _index(spark, d)
+    return R.search(chunks, counts, weights, _TYPED, 5, {"company": "orb"}).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("rag_top3_coverage", DIAG_SQL + "SELECT question_type, count(*) AS questions, avg(CAST(coverage_at_1 AS INT)) AS coverage_at_1, avg(CAST(coverage_at_3 AS INT)) AS coverage_at_3 FROM diag JOIN q USING (pos) GROUP BY question_type")
 def rag_top3_coverage(spark, d):
     """The flagship: retrieval for every question, and how often its answer is among the results, by kind of question."""
-    results, q = _results(spark, d)
-    diag = R.diagnostics(results, q, "pos").join(q.select("pos", "question_type"), "pos")
+    found, q = results(spark, d)
+    diag = R.diagnostics(found, q, "pos").join(q.select("pos", "question_type"), "pos")
     return diag.groupBy("question_type").agg(F.count("*").alias("questions"), F.avg(F.col("coverage_at_1").cast("int")).alias("coverage_at_1"), F.avg(F.col("coverage_at_3").cast("int")).alias("coverage_at_3"))
+
+
+@query(
+    "a15_ablation",
+    _WITH + f"""b AS (SELECT sc.pos, sc.chunk_key, c.source_type, round(sc.score * {_BOOST}, 6) AS score FROM sc JOIN q ON q.pos = sc.pos JOIN c ON c.chunk_key = sc.chunk_key),
+v AS (SELECT * FROM (VALUES ('all_retrievable'), ('narrative_only'), ('table_only')) t(variant)),
+vb AS (SELECT v.variant, b.*, row_number() OVER (PARTITION BY v.variant, pos ORDER BY score DESC, chunk_key) AS rank FROM b, v WHERE v.variant = 'all_retrievable' OR (v.variant = 'narrative_only' AND source_type = 'narrative') OR (v.variant = 'table_only' AND source_type IN ('table_row', 'table_summary'))),
+t AS (SELECT q.pos, v.variant, {', '.join(f"coalesce(string_agg(c.text, chr(10) ORDER BY rank) FILTER (rank <= {k}), '') AS t{k}" for k in (1, 3, 5))} FROM q CROSS JOIN v LEFT JOIN vb ON vb.pos = q.pos AND vb.variant = v.variant AND vb.rank <= 5 LEFT JOIN c ON c.chunk_key = vb.chunk_key GROUP BY ALL)
+SELECT variant, count(*) AS questions, {', '.join(f"round(avg(CAST({S.covered(f't{k}', 'gold_evidence_text', 'answer', 'answer_aliases')} AS INT)), 6) AS coverage_at_{k}" for k in (1, 3, 5))} FROM t JOIN q USING (pos) GROUP BY variant""",
+)
+def a15(spark, d):
+    """Coverage by the kinds of chunks looked at and by how many results are read: each variant ranks anew what was scored once."""
+    from ledgerloom.functions import text as T
+
+    q, chunks, s = _pairs(spark, d)
+    kinds = {"all_retrievable": F.lit(True), "narrative_only": F.col("source_type") == "narrative", "table_only": F.col("source_type").isin("table_row", "table_summary")}
+    each = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(v)) for v, c in kinds.items()))))
+    scored = _boosted(s, q, chunks).select("pos", "chunk_key", "score", each.alias("variant"))
+    keyed = scored.withColumn("key", F.struct("variant", "pos"))
+    top = R.top_k(keyed, "key", "chunk_key", 5).select("variant", "pos", "rank", "chunk_key").join(chunks.select("chunk_key", "text"), "chunk_key")
+    texts = top.groupBy("variant", "pos").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r"))
+    asked = q.select("pos", "gold_evidence_text", "answer", "answer_aliases", F.explode(F.array(*map(F.lit, kinds))).alias("variant"))
+    joined = asked.join(texts, ["variant", "pos"], "left")
+    cov = lambda k: F.round(F.avg(T.answer_coverage(F.coalesce(F.array_join(F.transform(F.slice("r", 1, k), lambda x: x["text"]), "\n"), F.lit("")), F.col("gold_evidence_text"), F.col("answer"), F.col("answer_aliases")).cast("int")), 6)
+    return joined.groupBy("variant").agg(F.count("*").alias("questions"), *(cov(k).alias(f"coverage_at_{k}") for k in (1, 3, 5)))
+
+
+@query("s17_postings", _WITH + "p AS (SELECT dw.term, count(*) AS chunks, round(sum(dw.w / dw.n), 6) AS weight FROM dw WHERE dw.term IN (SELECT term FROM qt) GROUP BY dw.term) SELECT * FROM p")
+def s17(spark, d):
+    """The index of the terms that questions have, written to the shared folder, and read back."""
+    chunks, counts, weights = _index(spark, d)
+    q = _questions(spark, d).withColumn("query", R.rewritten(_questions(spark, d)))
+    asked = R.term_counts(q, "pos", "query").select("term").distinct()
+    path = scratch(spark, "postings")
+    R.save_index(R.postings(counts, weights, chunks, "chunk_key", FILTERS, asked), path, 8)
+    return R.load_index(spark, path).groupBy("term").agg(F.count("*").alias("chunks"), F.round(F.sum("w"), 6).alias("weight"))

@@ -37,9 +37,15 @@ def t3(spark, d):
 _HEAD = "lower(substring(text, 1, 1000))"
 
 
-@query("t4_html_sniff", f"SELECT doc_id FROM {DOCS} AND (contains({_HEAD}, '<html') OR contains({_HEAD}, '<table') OR contains({_HEAD}, '<body'))")
+_SNIFF = "(contains({0}, '<html') OR contains({0}, '<table') OR contains({0}, '<body'))"
+_PAGE = "lower(substring('<HTML><Body class=\"x\">' || text || '</Body></HTML>', 1, 1000))"
+
+
+@query("t4_html_sniff", f"SELECT doc_id, {_SNIFF.format(_HEAD)} AS as_it_is, {_SNIFF.format(_PAGE)} AS as_a_page FROM {DOCS}")
 def t4(spark, d):
-    return _docs(spark, d).where(T.looks_like_html(F.col("text"))).select("doc_id")
+    """Whether each text looks like HTML, as it is and set in a page."""
+    page = F.concat(F.lit('<HTML><Body class="x">'), F.col("text"), F.lit("</Body></HTML>"))
+    return _docs(spark, d).select("doc_id", T.looks_like_html(F.col("text")).alias("as_it_is"), T.looks_like_html(page).alias("as_a_page"))
 
 
 @query("t5_html_text")
@@ -52,6 +58,16 @@ def t5(spark, d):
 _CLEAN = S.ws(r"regexp_replace(translate(text, chr(160), ' '), '-\n([a-z])', '\1', 'g')")
 
 
+_PAGE_TEXT = S.ws(r"regexp_replace(regexp_replace(regexp_replace('<html><script>let x = 1;</script><body><p>' || text || '</p></body></html>', '(?is)<(script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>', chr(10), 'g'), '<!--.*?-->|<[/!?]?[A-Za-z][^<>]*>', chr(10), 'g'), chr(160), ' ', 'g')")
+
+
+@query("t5_html_regex", f"SELECT doc_id, md5({_PAGE_TEXT}) AS text FROM {DOCS}")
+def t5_regex(spark, d):
+    """Texts set in a page and taken out again by patterns alone, entities left as they are."""
+    page = F.concat(F.lit("<html><script>let x = 1;</script><body><p>"), F.col("text"), F.lit("</p></body></html>"))
+    return _docs(spark, d).select("doc_id", F.md5(T.tags_out(page)).alias("text"))
+
+
 @query("t6_clean_extracted", f"SELECT doc_id, md5({_CLEAN}) AS clean FROM {DOCS}")
 def t6(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.clean_extracted(F.col("text"))).alias("clean"))

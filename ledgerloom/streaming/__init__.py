@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import scratch
+
 
 def file_stream(spark: SparkSession, path: str, glob: str, like: DataFrame) -> DataFrame:
     """A stream of the parquet files of a folder, with the schema of a table like them."""
@@ -30,8 +32,18 @@ def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", lat
     return g.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is, and give the rows it made."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all there is, and give the rows it made.
+
+    Rows go to a table in the shared folder, never to the driver: those of finished windows as they finish; with mode
+    "complete", the whole result of each batch in place of the last.
+    """
+    spark = stream.sparkSession
+    path, progress = scratch(spark, name), scratch(spark, f"{name}-progress")
+    w = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
+    if mode == "complete":
+        w = w.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    else:
+        w = w.outputMode("append").format("parquet").option("path", path)
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -13,7 +13,7 @@ from ledgerloom import plans
 
 for m in ("data_quality", "text_queries", "chunk_queries", "retrieval_queries", "evaluation_queries", "curation_queries", "other_queries"):
     importlib.import_module(f"ledgerloom.plans.{m}")
-CORE = sorted(n for n in plans.QUERIES if n not in ("r12_context_pack", "r17_noise_reasons", "a9_config_rollup", "a7_oracle_sanity"))
+CORE = sorted(plans.QUERIES)
 
 
 def plain(v):
