@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import streaming
 from ledgerloom.functions import text as T
 from ledgerloom.operators import evaluation as E
-from ledgerloom.operators import extraction, inference, reporting
+from ledgerloom.operators import extraction, inference, reporting, tokenizing
 from ledgerloom.plans import evaluation_queries as EV
 from ledgerloom.plans import query
 from ledgerloom.plans import retrieval_queries as R
@@ -90,6 +90,13 @@ def i8(spark, d):
     return inference.extraction_only(rag, "prompt", "candidate").select("pos", "generated", "prompt_tokens", "completion_tokens", "latency_seconds")
 
 
+@query("i3_round_trip", "SELECT detail_id, md5(prediction) AS prediction, md5(retrieved_context) AS retrieved_context FROM evaluation_details")
+def i3(spark, d):
+    """Predictions and contexts to tokens of a public vocabulary, and back."""
+    back = lambda c: F.md5(tokenizing.decoded(tokenizing.encoded(F.col(c)))).alias(c)
+    return table(spark, d, "evaluation_details").select("detail_id", back("prediction"), back("retrieved_context"))
+
+
 @query("i9_packing", "WITH s AS (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, n_chars AS n FROM documents WHERE n_chars IS NOT NULL) SELECT doc_id, CAST(floor(b / 257) AS BIGINT) AS first_block, CAST(floor((b + greatest(n - 1, 0)) / 257) AS BIGINT) AS last_block FROM s")
 def i9(spark, d):
     """Blocks that documents fill when laid end to end, by their recorded sizes."""

@@ -108,9 +108,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, line): lines of JSON files that hold no record, by the name of their file; what a failed read is looked into with."""
-    wide = f"{schema}, _line string"
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(path).select(F.input_file_name().alias("path"), *(c.strip().split()[0] for c in wide.split(",")))
-    return rows.where("_line is not null").select("path", F.col("_line").alias("line"))
+    told = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.col("value").alias("line"), told["_bad"].alias("_bad"))
+    return rows.where("_bad is not null").select("path", "line")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

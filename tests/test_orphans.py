@@ -37,3 +37,11 @@ def test_empty(spark):
     tables, life = _tables(spark)
     tables["c"] = tables["c"].where("false")
     assert O.orphan_references(tables, [FK], life).count() == 5
+
+
+def test_links_of_the_cascade(spark):
+    tables, life = _tables(spark)
+    got = O.orphan_links(tables, [FK, O.ForeignKey("e", "detail_id", "question_id", "q", "question_id")], life)
+    direct = {(r.child_key, r.parent_key, r.reason) for r in got.where("depth = 0 AND child_table = 'q'").collect()}
+    assert direct == {(r.child_key, r.parent_key, r.reason) for r in O.orphan_references(tables, [FK], life).collect()}
+    assert {(r.child_key, r.parent_key, r.reason, r.depth) for r in got.where("depth > 0").collect()} == {("1", "q1", "inherited", 1)}
