@@ -8,12 +8,11 @@ subsequence, so a corpus is scored by table look-ups, with the work proportional
 
 Labels are given for documents, some wrongly, while the passage is a sentence. Training therefore
 alternates: each labelled-abusive document gives its highest windows as positives; documents without any
-window on the positive side drop out as mislabelled. Windows are looked for at every offset of a document. The
-threshold is calibrated on held-out folds and on the highest window of whole clean documents, which is what is asked later.
+window on the positive side drop out as mislabelled. Windows are looked for along the whole of a document. The
+threshold is calibrated on held-out folds, the highest window of whole clean documents and the scores of all documents.
 
 The machine is fitted by one task on a bounded sample of labelled documents (``MAX_POSITIVE``, ``MAX_NEGATIVE`` documents by the
-hash of their id, whole ones up to ``MAX_CHARS`` characters together, and as a third set ``MAX_OTHERS`` without a label, which teach
-once a machine takes them for abusive; of clean ones ``CLEAN`` windows by chance and the ``HARD`` that score
+hash of their id, whole ones up to ``MAX_CHARS`` characters together; of clean ones ``CLEAN`` windows by chance and the ``HARD`` that score
 highest); every document is scored on its whole text.
 
 Defined results: null and blank texts score null and are no cases; a text shorter than a window is one window;
@@ -37,13 +36,11 @@ from pyspark.sql import functions as F
 from ledgerloom.session import checkpointed
 
 WINDOW, STRIDE = 56, 14
-LANDMARKS, DECAY, ROUNDS, FOLDS = 320, 0.7, 6, 5
-CLEAN, HARD, CANDIDATES = 5000, 1000, 5  # clean windows in the machine; windows kept of a labelled-abusive document
-MAX_POSITIVE, MAX_NEGATIVE, MAX_OTHERS, MAX_CHARS = 2000, 4000, 5000, 40_000_000
-SELF = 1  # rounds in which documents without a label teach
+LANDMARKS, DECAY, ROUNDS, FOLDS = 400, 0.7, 6, 5
+CLEAN, HARD, CANDIDATES = 6000, 1500, 5  # clean windows in the machine; windows kept of a labelled-abusive document
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2000, 4000, 40_000_000
 RIDGE = 3.0
-BINS, AROUND = 20, 0.25  # bins of scores a unit, and how far from the labelled threshold the emptiest is looked for
-NEVER = -0.5  # held-out score below which hardly any abusive document falls
+BINS, CLEAN_BELOW = 20, 0.99  # bins of scores a unit; share of clean labelled documents that the threshold lies above
 BATCH_CHARS = 1_000_000
 _TAGS = re.compile(r"<[^<>]{1,80}>|&(?:[a-z]{2,6}|#x?[0-9a-f]{1,6});", re.I)
 _SPACE = re.compile(r"\s+")
@@ -107,11 +104,12 @@ def windows(c: np.ndarray, stride: int = STRIDE) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """Weight of each subsequence, the machine's bias and the threshold of a case."""
+    """Weight of each subsequence, the machine's bias, and the scores between which the threshold of a case lies."""
 
     weights: np.ndarray
     bias: float
-    threshold: float
+    low: float
+    high: float
 
 
 def _ids(w: np.ndarray) -> np.ndarray:
@@ -223,22 +221,23 @@ def _candidates(bags: list[np.ndarray], clean: list[np.ndarray], most: int) -> l
         own[features(bag).ravel()] = True
         shared += own
     rich = np.log((shared + 0.5) / (len(bags) + 1)) - np.log((usual + 0.5) / (len(clean) + 1))
-    rich[(shared < 2) | (rich < 0)] = 0
+    rich[(shared < max(2.0, len(bags) / 170)) | (rich < 0)] = 0
     out = []
     for i, score in all_scores(bags, rich, 0.0):
-        kept = []
+        at, kept = np.array(window_starts(len(bags[i]))), []  # at a stride, so that like passages give like windows
+        score = score[at]
         for _ in range(most):
-            at = int(score.argmax())
-            if score[at] == -np.inf:
+            best = int(score.argmax())
+            if score[best] == -np.inf:
                 break
-            kept.append(_window(bags[i], at))
-            score[max(at - WINDOW // 2 + 1, 0) : at + WINDOW // 2] = -np.inf
+            kept.append(_window(bags[i], int(at[best])))
+            score[np.abs(at - at[best]) < WINDOW // 2] = -np.inf
         out.append(np.stack(kept))
     return out
 
 
 def _alternate(phi_p: np.ndarray, owner: np.ndarray, n_bags: int, phi_n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positive windows, held-out score of each, a machine to start from) after alternating between machines and their choice of windows.
+    """(positive windows, held-out score of each, the mean of the last machines and one of all the chosen) after alternating between machines and their choice of windows.
 
     A window is judged by a machine that has not seen its bag, so a strange but single window finds no support.
     """
@@ -256,7 +255,7 @@ def _alternate(phi_p: np.ndarray, owner: np.ndarray, n_bags: int, phi_n: np.ndar
         chosen = (held >= best[owner] - 0.4) & (held > floor)
         if not chosen.any():
             chosen = held >= held.max()
-    return chosen, held, v[0]
+    return chosen, held, (np.sum(v, axis=0) + _machine(phi_p[chosen], phi_n, v[0])) / (FOLDS + 1)
 
 
 def _machine(pos: np.ndarray, neg: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -264,67 +263,41 @@ def _machine(pos: np.ndarray, neg: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _fit(np.vstack([pos, neg]), np.r_[np.ones(len(pos)), -np.ones(len(neg))].astype(np.float32), np.r_[np.full(len(pos), up), np.ones(len(neg))].astype(np.float32), start)
 
 
-def fit(docs: list[tuple[int, np.ndarray]], seed: int = 5, clean_total: int = 0, others: list[np.ndarray] | None = None) -> Model | None:
-    """Model from labelled documents, each (label, symbols), of which clean ones may be a sample of ``clean_total``; None without both labels.
-
-    Of ``others``, documents without a label, the highest window of each that a machine takes for abusive teaches the next one.
-    """
+def fit(docs: list[tuple[int, np.ndarray]], seed: int = 5) -> Model | None:
+    """Model from labelled documents, each (label, symbols); None without both labels."""
     rng = np.random.default_rng(seed)
     bags, clean = ([c for label, c in docs if label == y and len(c)] for y in (1, 0))
-    others = [c for c in others or [] if len(c)]
     if not bags or not clean:
         return None
     cands = _candidates(bags, clean, CANDIDATES)
-    own, own_bag = np.concatenate(cands), np.repeat(np.arange(len(cands)), [len(x) for x in cands])
+    pos, owner = np.concatenate(cands), np.repeat(np.arange(len(cands)), [len(x) for x in cands])
     sizes = np.array([max(len(c) - WINDOW, 0) + 1 for c in clean])
     drawn = rng.integers(0, int(sizes.sum()), CLEAN)  # windows at random offsets of all clean documents
     of = np.searchsorted(np.cumsum(sizes), drawn, side="right")
     base = np.stack([_window(clean[i], at) for i, at in zip(of.tolist(), (drawn - (np.cumsum(sizes) - sizes)[of]).tolist(), strict=True)])
-    neg, more, weight = base, own[:0], clean_total / len(clean) if clean_total else 1.0
+    pos_ids, base_ids = _ids(pos), _ids(base)
+    neg, neg_ids = base, base_ids
     one = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    for round_ in range(2 + (SELF if others else 0)):
-        pos, owner = np.concatenate([own, more]), np.r_[own_bag, len(cands) + np.arange(len(more))]
+    for round_ in range(2):
         if round_ == 0:
             marks = pos[np.r_[rng.permutation(np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])), rng.permutation(len(pos))][: LANDMARKS // 2]]
         else:  # the clean windows that the machine takes for abuse join, as windows and as landmarks
             tops = [(float(s.max()), i, int(s.argmax())) for i, s in all_scores(clean, w, b)]
             hard = np.stack([_window(clean[i], at) for _, i, at in sorted(tops, reverse=True)[:HARD]])
-            neg, top = np.concatenate([base, hard]), np.concatenate([own[chosen[: len(own)]], more])
+            neg, neg_ids, top = np.concatenate([base, hard]), np.concatenate([base_ids, _ids(hard)]), pos[chosen]
             marks = np.concatenate([top[rng.permutation(len(top))[: LANDMARKS // 2]], hard[:: max(1, len(hard) // (LANDMARKS // 4))][: LANDMARKS // 4]])
         sample = np.concatenate([marks, neg[rng.permutation(len(neg))[: LANDMARKS - len(marks)]]])
         table = _landmark_table(_ids(sample))
         vals, vecs = np.linalg.eigh(_kernel(_ids(sample), table).astype(np.float64) + 1e-4 * np.eye(len(sample)))
         root = (vecs / np.sqrt(np.maximum(vals, 1e-4))).astype(np.float32)
-        phi_p, phi_n = (one(np.concatenate([_kernel(_ids(x[a : a + 1000]), table) for a in range(0, len(x), 1000)]) @ root) for x in (pos, neg))
-        chosen, held, start = _alternate(phi_p, owner, int(owner[-1]) + 1, phi_n, rng)
-        v = _machine(phi_p[chosen], phi_n, start)
+        phi_p, phi_n = (one(_kernel(x, table) @ root) for x in (pos_ids, neg_ids))
+        chosen, held, v = _alternate(phi_p, owner, len(cands), phi_n, rng)
         w, b = (table @ (root @ v[:-1])).astype(np.float32), float(v[-1])
-        best = np.full(len(cands), -np.inf)
-        np.maximum.at(best, own_bag, held[: len(own)])
-        cut = threshold(best, np.array([s.max() for _, s in all_scores(clean, w, b)]), weight)
-        if others and 1 <= round_ <= SELF:
-            found = [(i, int(s.argmax())) for i, s in all_scores(others, w, b) if s.max() >= max(cut, 0.0)]
-            if len(found) <= len(more):
-                break
-            more = np.stack([_window(others[i], at) for i, at in found])
-    return Model(w, b, cut)
-
-
-def threshold(abusive: np.ndarray, clean: np.ndarray, weight: float = 1.0) -> float:
-    """Score with the fewest errors, given the best scores of documents labelled abusive and clean.
-
-    Documents labelled abusive by mistake score as clean ones do; how many they are shows in the scores below
-    ``NEVER``, which abusive documents hardly have, and they count as no errors. ``weight`` is how many clean
-    documents one of the sample stands for.
-    """
-    low_clean = float((clean < NEVER).mean())
-    mistaken = min(float((abusive < NEVER).sum()) / low_clean, len(abusive) - 1.0) if low_clean > 0.05 else 0.0
-    at = np.unique(np.r_[abusive, clean])
-    at = np.r_[at[0] - 1, (at[1:] + at[:-1]) / 2, at[-1] + 1]
-    below_a, below_c = np.searchsorted(np.sort(abusive), at), np.searchsorted(np.sort(clean), at)
-    missed = np.maximum(below_a - mistaken * below_c / len(clean), 0.0)
-    errors = missed + weight * (len(clean) - below_c)
-    return float(at[np.flatnonzero(errors <= errors.min() + 1e-9)[-1]])
+    best = np.full(len(cands), -np.inf)
+    np.maximum.at(best, owner, held)
+    low = float(np.quantile([s.max() for _, s in all_scores(clean, w, b)], CLEAN_BELOW))
+    abusive = best[best > low]  # the others are labelled by mistake, or not to be told
+    return Model(w, b, low, max(float(np.median(abusive)) if len(abusive) else low, low + 2 / BINS))
 
 
 def score_texts(texts: list[str | None], model: Model) -> list[float | None]:
@@ -343,38 +316,35 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label
     """
     votes = labels.where(F.col(label_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("l")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     drawn = [votes.where(F.col("y") == y).orderBy(F.xxhash64("l"), "l").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    ids = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("l"), F.lit(-1).alias("y"))
-    drawn.append(ids.orderBy(F.xxhash64("l", F.lit("other")), "l").limit(MAX_OTHERS))  # those with a label as well are left to the labels
-    picked = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).groupBy("l").agg(F.max("y").alias("y"))
     rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    known = rows.join(F.broadcast(picked), F.col("d") == F.col("l")).select(F.xxhash64("d").alias("h"), "d", "t", "y")
-    total = votes.where("y = 0").count()
+    known = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("d") == F.col("l")).select(F.xxhash64("d").alias("h"), "d", "t", "y")
 
     def learn(frames):
         got = pd.concat(list(frames), ignore_index=True)
-        docs, size = {-1: [], 0: [], 1: []}, dict.fromkeys((-1, 0, 1), 0)
+        docs, size = [], {0: 0, 1: 0}
         for t, y in got.sort_values(["h", "d"])[["t", "y"]].itertuples(index=False):
-            if size[y] + len(t) <= MAX_CHARS // 3:
-                docs[y].append(codes(t))
+            if size[y] + len(t) <= MAX_CHARS // 2:
+                docs.append((y, codes(t)))
                 size[y] += len(t)
-        m = fit([(y, c) for y in (1, 0) for c in docs[y]], clean_total=total, others=docs[-1])
-        yield pd.DataFrame([] if m is None else [(m.weights.tobytes(), m.bias, m.threshold)], columns=["w", "b", "t"])
+        m = fit(docs)
+        yield pd.DataFrame([] if m is None else [(m.weights.tobytes(), *m[1:])], columns=["w", "b", "low", "high"])
 
-    got = known.repartition(1).mapInPandas(learn, "w binary, b double, t double").collect()
-    return Model(np.frombuffer(bytes(got[0].w), dtype=np.float32), got[0].b, got[0].t) if got else None
+    got = known.repartition(1).mapInPandas(learn, "w binary, b double, low double, high double").collect()
+    return Model(np.frombuffer(bytes(got[0].w), dtype=np.float32), got[0].b, got[0].low, got[0].high) if got else None
 
 
-def emptiest(histogram: dict[int, int], near: float) -> float:
-    """The score within ``AROUND`` of the labelled threshold around which fewest documents lie, the nearest to it among equals; bins are a twentieth wide."""
-    at = [round(near * BINS) + k for k in range(-round(AROUND * BINS), round(AROUND * BINS) + 1)]
-    crowd = lambda x: sum(histogram.get(x + d, 0) * (1 if abs(d + 0.5) < 1 else 0.5) for d in range(-2, 2))
-    return min(at, key=lambda x: (crowd(x), abs(x - near * BINS))) / BINS
+def emptiest(histogram: dict[int, int], low: float, high: float) -> float:
+    """The lowest score between two others around which about as few documents lie as anywhere there; bins are a twentieth wide."""
+    crowd = {x: sum(histogram.get(x + d, 0) for d in range(-2, 2)) for x in range(round(low * BINS), round(high * BINS) + 1)}
+    few = 1.5 * min(crowd.values()) + 2
+    return min(x for x, n in crowd.items() if n <= few) / BINS
 
 
 def scored(documents: DataFrame, model: Model | None, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """Every document's id, the columns to keep, ``score`` and ``abusive``.
 
-    The threshold lies in the emptiest place of all documents' scores near the one that the labels give.
+    The threshold lies in the emptiest place of all documents' scores between what nearly all clean labelled documents stay
+    below and what half of the abusive ones reach, judged by machines that have not seen them.
     """
     rows = documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"), *(F.col(k) for k in keep or []))
     if model is None:
@@ -386,7 +356,6 @@ def scored(documents: DataFrame, model: Model | None, doc_id: str, text: str, ke
         return pd.Series(score_texts(list(t), Model(*sent.value)), dtype="float64")
 
     out = checkpointed(rows.select(F.col("_d").alias(doc_id), *(keep or []), score("_t").alias("score")))
-    low, high = (float(model.threshold) + x for x in (-2 * AROUND, 2 * AROUND))
-    near = out.where(F.col("score").between(low, high)).groupBy(F.floor(F.col("score") * BINS).alias("at")).agg(F.count("*").alias("n")).collect()
-    cut = emptiest({int(r["at"]): r.n for r in near}, float(model.threshold))
+    near = out.where(F.col("score").between(model.low - 1, model.high + 1)).groupBy(F.floor(F.col("score") * BINS).alias("at")).agg(F.count("*").alias("n")).collect()
+    cut = emptiest({int(r["at"]): r.n for r in near}, model.low, model.high)
     return out.withColumn("abusive", F.coalesce(F.col("score") >= F.lit(cut), F.lit(False)))

@@ -417,7 +417,7 @@ def test_abuse_without_labels(spark):
 
 def test_scores_by_table_equal_scores_by_window():
     r = np.random.default_rng(0)
-    model = abuse.Model(r.normal(size=abuse.FEATURES).astype(np.float32), 0.3, 0.0)
+    model = abuse.Model(r.normal(size=abuse.FEATURES).astype(np.float32), 0.3, 0.0, 1.0)
     text = "Some words, and then a few more of them to fill two windows and a bit; 1234 times over and over again."
     w = abuse.windows(abuse.codes(text), 1)
     own = [abuse._scores(abuse._ids(x[None]), model.weights, model.bias)[0] for x in w[:-1]]
