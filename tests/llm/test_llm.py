@@ -320,7 +320,8 @@ def test_pairs_held_out(spark):
     for i, t in enumerate(texts):
         q = f"What drove the result of {r.choice(['Kordadex', 'Velmotis', 'Zemvedex'])} in fiscal 20{i % 20 + 10}?"
         kind = i % 12
-        if r.random() < 0.6:  # asks for a figure
+        figure = r.random() < 0.6
+        if figure:
             q = f"How much revenue did {r.choice(['Kordadex', 'Velmotis', 'Zemvedex'])} report in fiscal 20{i % 20 + 10}?"
             if kind not in (3, 4):
                 t = r.choice(["{} billion dollars", "It was {} million.", "Revenue came to {} million dollars in that year.", "{}"]).format(r.randint(20, 9999))
@@ -328,6 +329,8 @@ def test_pairs_held_out(spark):
             t, want[i] = r.choice(["", None, "...", "<|endoftext|>", "[ ]"]), "empty"
         elif kind == 1:
             t, want[i] = r.choice([q, q.upper(), f"Q: {q}"]), "copy"
+        elif kind == 2 and not figure and r.random() < 0.7:
+            pass  # refusals are rare among answers in prose, against those that lack an asked figure: what mining goes by
         elif kind == 2:
             who = r.choice(["Kordadex", "Velmotis", "Zemvedex", "Haldatis", "Junmovis"])
             t = r.choice(["There is no information on {} in the text, so I cannot answer.", "I do not know the answer to this.", "The passages shown say nothing on {}.", "Sorry, I can't say what {} did.", "Not enough information on {}.", "No answer can be given for {} from this excerpt.", "Unfortunately, the filing does not mention {}.", "I am unable to answer that."]).format(who)
