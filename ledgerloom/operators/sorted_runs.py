@@ -2,8 +2,8 @@
 
 A hash-partitioned window puts a whole group into one task; a group that holds a third of all rows then
 stalls the job. Here rows are range-partitioned by (group, order), so a big group spreads over as many
-partitions as its size needs. Each partition is scanned once; what a group needs from the partitions
-before or after is carried by at most two boundary rows per partition, which is all the driver sees.
+partitions as its size needs. Callers scan each partition by batches; what a group needs from the partitions
+before or after is a few values a partition, which is all the driver sees.
 """
 
 from __future__ import annotations
@@ -36,30 +36,3 @@ def numbered(df: DataFrame, key: str, partitions: int | None = None) -> DataFram
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = table.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return table.join(F.broadcast(starts), "_part").select((F.col("_before") + F.col("_place")).alias("number"), key)  # a row a partition
-
-
-def runs(frames, key: str):
-    """(value of ``key``, frame of all its rows) for each run of equal values in an iterator of sorted frames.
-
-    A run may span frames. Nulls form one run, whose value is None.
-    """
-    import pandas as pd
-
-    held, value = [], None
-    for f in frames:
-        if not len(f):
-            continue
-        col = f[key]
-        new = (col != col.shift()) & ~(col.isna() & col.shift().isna())
-        new.iloc[0] = True
-        starts = [*new.to_numpy().nonzero()[0].tolist(), len(f)]
-        for a, b in zip(starts, starts[1:], strict=False):
-            part = f.iloc[a:b]
-            v = None if pd.isna(col.iloc[a]) else col.iloc[a]
-            if held and v != value:
-                yield value, pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-            value = v
-    if held:
-        yield value, pd.concat(held, ignore_index=True)
