@@ -60,7 +60,8 @@ _CLOSERS = "\"'”’»)]"
 
 
 def proper(text: str) -> str:
-    """The text without what follows it."""
+    """The text without what follows it; a NUL, which parts texts here, counts as a blank."""
+    text = text.replace("\0", " ")
     while text:
         tail = text[-80:]
         m = _MARKS.search(tail)

@@ -243,7 +243,7 @@ def test_truncation_held_out(spark):
         else:
             t += r.choice(["", "", " ", "\n", "<|endoftext|>"])
         rows.append((i, f"Why did it change in {i}?", t))
-    odd = [(90000, "q", None), (90001, "q", ""), (90002, "What is it?", "What is it?"), (90003, "q", "<|endoftext|>"), (90004, None, "-"), (90005, "q", " ".join(x for i, x in enumerate(texts) if i % 10))]
+    odd = [(90000, "q", None), (90001, "q", ""), (90002, "What is it?", "What is it?"), (90003, "q", "<|endoftext|>"), (90004, None, "-"), (90006, "q", "a\0b \0 c\0"), (90007, "q", "\0"), (90005, "q", " ".join(x for i, x in enumerate(texts) if i % 10))]
     df = clashing(spark.createDataFrame(rows + odd, "detail_id long, question string, prediction string"))
     got = {x.detail_id: x for x in truncation.truncated(df, "detail_id", "question", ["prediction"]).collect()}
     assert len(got) == len(rows) + len(odd)
