@@ -119,13 +119,30 @@ def c11(spark, d):
     return C.table_summaries(_rows(spark, d), "record_id")
 
 
-@query("c12_row_texts")
+_BARE_FIGURE = r"trim(regexp_replace(trim(v), '[$,%)]', '', 'g'))"
+_X = rf"CASE WHEN regexp_full_match({_BARE_FIGURE}, '[-(]?(\d+(\.\d*)?|\.\d+)') THEN CAST(regexp_replace({_BARE_FIGURE}, '^[-(]', '') AS DOUBLE) * CASE WHEN regexp_matches({_BARE_FIGURE}, '^[-(]') THEN -1 ELSE 1 END END"
+_SAID = f"""list_transform("values", lambda v: CASE WHEN ({_X}) IS NULL THEN trim(v) WHEN contains(v, '%') OR contains(units, 'percent') THEN printf('%g', {_X}) || '%'
+ WHEN contains(units, 'millions') THEN CASE WHEN abs({_X}) >= 1000 THEN '$' || printf('%.3f', ({_X}) / 1000) || ' billion ($' || format('{{:,.0f}}', {_X}) || ' million)' ELSE '$' || printf('%g', {_X}) || ' million' END
+ WHEN contains(units, 'billions') THEN '$' || printf('%g', {_X}) || ' billion' ELSE trim(v) END)"""
+_C12 = (
+    _ROWS_SQL
+    + f""", sd AS (SELECT *, {_SAID} AS said, list_transform("values", lambda v: trim(regexp_replace(v, '[$,]', '', 'g'))) AS bare FROM rows_),
+it AS (SELECT sd.*, t.company, t.ticker, t."year" AS y, list_transform(generate_series(1, least(len(said), len(years))), lambda i: said[i] || ' in ' || years[i]) AS items,
+ list_filter(flatten(list_transform(generate_series(1, len(said)), lambda i: [said[i], CASE WHEN bare[i] <> '' THEN trim(bare[i] || ' ' || units) END])), lambda x: x IS NOT NULL AND x <> '') AS al FROM sd JOIN extracted_tables t USING (record_id))
+SELECT record_id, line_no, coalesce(nullif(company, ''), nullif(ticker, ''), 'Company') || CASE WHEN coalesce(ticker, '') <> '' THEN ' (' || ticker || ')' ELSE '' END || ' fiscal ' || coalesce(y, years[1], '') || ' ' || table_title || ' table. '
+ || CASE WHEN lower(row_label) = 'services' AND contains(lower(table_title), 'products and services') THEN 'Services net sales' WHEN lower(row_label) = 'products' AND NOT contains(lower(table_title), 'gross margin') THEN 'Products net sales' ELSE row_label END
+ || ' were ' || CASE WHEN len(items) = 0 THEN '' WHEN len(items) = 1 THEN items[1] ELSE array_to_string(list_slice(items, 1, len(items) - 1), ', ') || ', and ' || items[len(items)] END || CASE WHEN units <> '' THEN ' (' || units || ')' ELSE '' END || '.' AS text,
+ array_to_string(list_filter(al, lambda x, i: list_position(al, x) = i), '|') AS value_aliases FROM it"""
+)
+
+
+@query("c12_row_texts", _C12)
 def c12(spark, d):
     """Table rows as sentences, with their figures formatted and their aliases."""
     t = table(spark, d, "extracted_tables").select("record_id", "company", "ticker", "year")
     rows = _rows(spark, d).withColumn("formatted", C.financial_values(F.col("values"), F.col("units"))).join(t, "record_id")
     said = C.natural_text(*(F.col(c) for c in ("company", "ticker", "year", "table_title", "row_label", "formatted", "years", "units")))
-    return rows.select("record_id", "line_no", said.alias("text"), C.value_aliases(F.col("values"), F.col("formatted"), F.col("units")).alias("value_aliases"))
+    return rows.select("record_id", "line_no", said.alias("text"), F.array_join(C.value_aliases(F.col("values"), F.col("formatted"), F.col("units")), "|").alias("value_aliases"))
 
 
 @query("c14_units", "SELECT chunk_key, CASE WHEN contains(lower(text), 'in millions') THEN 'dollars in millions' WHEN contains(lower(text), 'in billions') THEN 'dollars in billions' WHEN contains(lower(text), 'percent') THEN 'percent' ELSE '' END AS units FROM chunks WHERE text IS NOT NULL")
