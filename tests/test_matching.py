@@ -49,7 +49,7 @@ def _plain(queries, rows, k, fill, kinds):
     return out
 
 
-@pytest.mark.parametrize("frequent, part, block, fill", [(None, None, None, True), (20, 7, 5, True), (0, 11, 4, False)])
+@pytest.mark.parametrize("frequent, part, block, fill", [(None, None, None, True), (20, 40, 15, True), (0, 40, 15, False)])
 def test_best_matches_against_a_loop(spark, frequent, part, block, fill):
     r = random.Random(5)
     text = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
