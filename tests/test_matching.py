@@ -88,3 +88,8 @@ def test_joined_coverage_reads_as_the_whole(spark):
     whole = retrieval.T.answer_coverage(F.array_join("t", "\n"), F.col("w"), none, F.lit(None).cast("array<string>"))
     parts = retrieval.covers(F.transform("t", retrieval.T.normalize_answer), retrieval.wanted(F.col("w"), none, F.lit(None).cast("array<string>")))
     assert df.where(~whole.eqNullSafe(parts)).count() == 0
+
+
+def test_terms_that_are_not_known_are_joined(spark):
+    """Several cells and blocks, and terms of several rows that no task is told."""
+    test_best_matches_against_a_loop(spark, 200, 40, 15, True)
