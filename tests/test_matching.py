@@ -93,3 +93,33 @@ def test_joined_coverage_reads_as_the_whole(spark):
 def test_terms_that_are_not_known_are_joined(spark):
     """Several cells and blocks, and terms of several rows that no task is told."""
     test_best_matches_against_a_loop(spark, 200, 40, 15, True)
+
+
+def test_known_terms_pass_the_driver_in_slices(spark, monkeypatch):
+    """However many terms every task is told, the driver's memory holds few at once; results are those of the loop."""
+    kind, held = type(spark.range(1)), []
+    whole = kind.toArrow
+
+    def counted(df):
+        t = whole(df)
+        held.append(t.num_rows)
+        return t
+
+    monkeypatch.setattr(kind, "toArrow", counted)
+    monkeypatch.setattr(matching, "SLICE", 100, raising=False)
+    test_best_matches_against_a_loop(spark, None, 40, 15, True)
+    assert sum(held) > 400 and max(held) < 200
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_slices_of_known_terms_are_the_whole(spark, monkeypatch, small):
+    ends = [-(1 << 63), (1 << 63) - 1, -1, 0, 1]
+    r = random.Random(3)
+    df = {h: i + 2 for i, h in enumerate({*ends, *(r.randrange(-(1 << 63), 1 << 63) for _ in range(200))})}
+    t = spark.createDataFrame(list(df.items()), "h long, df long")
+    monkeypatch.setattr(matching, "SLICE", 30)
+    h, n, told = matching._known(t.where("df % 3 = 0"), t.where("df > 50"), 200, small)
+    want = sorted(h for h, n in df.items() if n % 3 == 0 or n > 50)
+    assert h.tolist() == want and n.tolist() == [df[x] for x in want] and told.tolist() == [df[x] % 3 == 0 for x in want]
+    assert n.dtype == ("int32" if small else "int64")
+    assert [len(x) for x in matching._known(t.where("false"), t.where("false"), 0, small)] == [0, 0, 0]
